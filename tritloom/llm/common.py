@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +43,7 @@ def removed(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
-def map_rows(df: DataFrame, columns: list[str], make: Callable[..., Callable], schema: str, *args) -> DataFrame:
+def map_rows(df: DataFrame, columns: list[str], make: Callable[..., Callable], schema: str | T.StructType, *args) -> DataFrame:
     """``mapInArrow`` over ``columns``: ``make(*args)`` runs once a task and returns batch -> dict of lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,15 +52,12 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[..., Callable], s
             for piece in pieces(batch):
                 yield pa.RecordBatch.from_pydict(step(piece), schema=arrow)
 
-    arrow = arrow_schema(df.sparkSession, schema)
+    arrow = arrow_schema(schema)
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
+def arrow_schema(schema: str | T.StructType) -> pa.Schema:
+    return to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

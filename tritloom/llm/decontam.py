@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, pieces, table
 
 WINDOW = 10
 BLOCK = 2
@@ -96,12 +96,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _BUILT: dict = {}
 
 
-def _step(shared, window: int, key: str):
+def _built(shared, window: int, key: str) -> list[WuManber]:
     """key names the broadcast set, so that a reused worker builds its tables once."""
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = matchers(shared.value, window)
-    found_by = _BUILT[key]
+    return _BUILT[key]
+
+
+def _step(shared, window: int, key: str, carry: bool):
+    found_by = _built(shared, window, key)
 
     def step(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"n_words": [], "spans": [], "items": []}
@@ -117,48 +121,54 @@ def _step(shared, window: int, key: str):
             out["n_words"].append(len(text_words))
             out["spans"].append([{"start": a, "end": b} for a, b in merged(spans)])
             out["items"].append(sorted(items - {None}))
-        kept = {"text": batch.column(1)} if before_last(batch) else {}
+        kept = {"text": batch.column(1)} if carry else {}
         return {"doc_id": batch.column(0)} | kept | out
 
     return step
 
 
-def before_last(batch: pa.RecordBatch) -> bool:
-    return bool((batch.schema.metadata or {}).get(b"carry"))
-
-
-def _carrying(make, carry: bool):
-    def made(*args):
-        step = make(*args)
-
-        def with_text(batch: pa.RecordBatch) -> dict:
-            return step(batch.replace_schema_metadata({"carry": "1"}) if carry else batch)
-
-        return with_text
-
-    return made
+def _blocks(items: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int):
+    """Yields (broadcast rows, key, whether it is the last) for each block of the benchmark."""
+    items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("words"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first()["n"]
+    blocks = -(-2 * total // block_bytes) if total > block_bytes else 1
+    for k in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("id", "words"), F.lit(blocks)) == k) if blocks > 1 else items
+        rows = [(r["id"], r["words"]) for r in part.collect()]  # a block of a stated set, of bounded size
+        key = hashlib.sha256(repr((window, rows)).encode()).hexdigest()
+        yield items.sparkSession.sparkContext.broadcast(rows), key, k == blocks - 1
 
 
 def find_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, spans of hit words (start, end; merged), items (sorted ids as strings)."""
-    spark = docs.sparkSession
-    items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("words"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
     found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     columns = ["doc_id", "text"]
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id", "words"), F.lit(blocks)) == k) if blocks > 1 else items
-        rows = [(r["id"], r["words"]) for r in part.collect()]  # a block of a stated set, of bounded size
-        shared = spark.sparkContext.broadcast(rows)
-        last = k == blocks - 1
+    for shared, key, last in _blocks(items, item_id, item_text, window, block_bytes):
         schema = SCHEMA if last else SCHEMA.replace("bigint,", "bigint, text string,", 1)
-        key = hashlib.sha256(repr((window, rows)).encode()).hexdigest()
-        found = map_rows(found, columns, _carrying(_step, not last), schema, shared, window, key)
+        found = map_rows(found, columns, _step, schema, shared, window, key, not last)
         columns = ["doc_id", "text", "spans", "items"]
     return found
 
 
+def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, whole, in which no benchmark passage occurs."""
+    at, schema = docs.columns.index(text), docs.schema
+
+    def without(shared, key):
+        def run(batches):
+            found_by = _built(shared, window, key)
+            for batch in batches:
+                for piece in pieces(batch):
+                    all_words = map(words, piece.column(at).to_pylist())
+                    yield piece.filter(pa.array([not any(True for m in found_by for _ in m.scan(w)) for w in all_words], pa.bool_()))
+
+        return run
+
+    for shared, key, _ in _blocks(items, item_id, item_text, window, block_bytes):
+        docs = docs.mapInArrow(without(shared, key), schema)
+    return docs
+
+
 def report(found: DataFrame) -> DataFrame:
     """Counts and digest of :func:`find_items`."""
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + (s["end"] - s["start"]))
@@ -173,8 +183,6 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return report(find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 

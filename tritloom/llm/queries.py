@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, simhash
+from . import bpe, decontam, langid, pii, simhash, topk
 
 QUERIES = {
+    "op1_exact_topk": topk.op1,
     "op2_byte_bpe": bpe.op2,
+    "op4_pii_feistel": pii.op4,
+    "op7_language_id": langid.op7,
     "op9_simhash_neardup": simhash.op9,
     "op10_decontamination": decontam.op10,
 }
-ORACLE_SQL = {"op10_decontamination": decontam.SQL}
+ORACLE_SQL = {
+    "op1_exact_topk": topk.SQL,
+    "op10_decontamination": decontam.SQL,
+}

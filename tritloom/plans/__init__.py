@@ -1 +1,6 @@
+"""Registered queries of the vector engine and their SQL."""
 
+from . import vector_queries
+
+QUERIES = dict(vector_queries.QUERIES)
+ORACLE_SQL = dict(vector_queries.ORACLE_SQL)

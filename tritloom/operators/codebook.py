@@ -41,11 +41,9 @@ def bound_codebook(spark: SparkSession, chunk: int = CHUNK, dims: int = DIMS, dr
 
 def byte_rows(files: DataFrame, ident: str, data: str, chunk: int = CHUNK) -> DataFrame:
     """(ident, chunk_no, pos, byte) of every byte; strings are taken as UTF-8."""
-    raw = F.col(data).cast("binary")
-    hexed = F.hex(raw)
-    places = F.when(F.octet_length(raw) > 0, F.sequence(F.lit(0), F.octet_length(raw) - 1)).otherwise(F.array().cast("array<int>"))
-    rows = files.select(ident, hexed.alias("__h"), F.explode(places).alias("__i"))
-    byte = F.conv(F.expr("substr(__h, 2 * __i + 1, 2)"), 16, 10).cast("int")
+    pairs = F.regexp_extract_all(F.hex(F.col(data).cast("binary")), F.lit(".."), F.lit(0))
+    rows = files.select(ident, F.posexplode(pairs).alias("__i", "__b"))
+    byte = F.conv("__b", 16, 10).cast("int")
     return rows.select(ident, F.floor(F.col("__i") / chunk).cast("int").alias("chunk_no"), (F.col("__i") % chunk).cast("int").alias("pos"), byte.alias("byte"))
 
 

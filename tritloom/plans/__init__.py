@@ -1,6 +1,6 @@
 """Registered queries of the vector engine and their SQL."""
 
-from . import vector_queries
+from . import store_queries, vector_queries
 
-QUERIES = dict(vector_queries.QUERIES)
-ORACLE_SQL = dict(vector_queries.ORACLE_SQL)
+QUERIES = vector_queries.QUERIES | store_queries.QUERIES
+ORACLE_SQL = vector_queries.ORACLE_SQL | store_queries.ORACLE_SQL

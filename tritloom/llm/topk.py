@@ -4,7 +4,7 @@ Candidates are taken in blocks of ``BLOCK`` rows. A block keeps, for every dimen
 component. A query walks all lists at once, from the top where its own component is positive and from the bottom where
 it is negative (sorted access), works out the whole score of each row it meets for the first time (random access), and
 stops as soon as the threshold, the score that a row at the current depth of all lists would have, is below its k-th
-score so far. The k-th score is carried from block to block of a task. A threshold equal to the k-th score does not
+score so far, or all rows have been met. The k-th score is carried from block to block of a task. A threshold equal to the k-th score does not
 stop the walk, for an unseen row of that score may have a smaller id.
 
 Queries are a stated set. They are counted and cut into passes of at most about ``QUERIES`` rows, each broadcast in a
@@ -33,9 +33,12 @@ class SortedBlock:
     """Rows of equal length with their per-dimension lists."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        self.ids, self.rows = ids, rows
-        self.order = np.argsort(rows, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(rows, self.order, axis=0)
+        most = np.abs(rows).max(initial=0)
+        #: Sums of integers below 2**24 are exact in single precision too.
+        self.ids, self.rows = ids, rows.astype(np.float32 if most * most * rows.shape[1] < 1 << 24 else np.float64)
+        order = np.argsort(rows, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(rows, order, axis=0)
+        self.tops, self.bottoms = np.ascontiguousarray(order[::-1].T), np.ascontiguousarray(order.T)
         self.mark = np.zeros(len(ids), dtype=bool)
         self.first = max(8, len(ids) // 256)
 
@@ -44,21 +47,21 @@ class SortedBlock:
         n, mark = len(self.ids), self.mark
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen = np.zeros(n, dtype=bool)
-        depth, step = 0, self.first
+        single = query.astype(self.rows.dtype) if np.abs(query).max(initial=0) ** 2 * len(query) < 1 << 24 else query.astype(np.float64)
+        depth, step, met = 0, self.first, 0
         if not len(up) and not len(down):  # every list is at its end: all scores are zero
             depth, step = 0, n
         while depth < n:
             to = min(n, depth + step)
             mark[:] = False
-            if len(up):
-                mark[self.order[n - to : n - depth][:, up].ravel()] = True
-            if len(down):
-                mark[self.order[depth:to][:, down].ravel()] = True
+            mark[self.tops[up, depth:to].ravel()] = True
+            mark[self.bottoms[down, depth:to].ravel()] = True
             if not len(up) and not len(down):
                 mark[:] = True
             new = np.flatnonzero(mark & ~seen)
             seen |= mark
-            score = self.rows[new] @ query
+            met += len(new)
+            score = (self.rows @ single if len(new) == n else np.take(self.rows, new, axis=0) @ single).astype(np.float64)
             full = len(best_id) >= k
             good = self.ids[new] != own
             if full:
@@ -73,6 +76,8 @@ class SortedBlock:
                 top = np.lexsort((ids, -score))[:k]
                 best_score, best_id = score[top], ids[top]
             depth, step = to, step * 2
+            if met == n:  # no row is left to meet
+                break
             if len(best_id) >= k:
                 bound = self.sorted[n - to][up] @ query[up] + self.sorted[to - 1][down] @ query[down]
                 if bound < best_score[-1]:

@@ -445,3 +445,26 @@ def _(spark, sf_dir):
     leaf = A.bundle_many(role_bound(spark, sf_dir), ["c_nationkey"])
     up = leaf.join(F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")), "c_nationkey")
     return A.votes(up, ["n_regionkey"]).select("n_regionkey", "dim", "votes", A.sign_of(F.col("votes")).alias("trit"))
+
+
+@query("w9_resonator_factors")
+def _(spark, sf_dir):
+    """Recovers segment and nation of every customer from their binding; tested against the columns."""
+    from ..operators.resonator import factorise
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    codes = c.select("c_mktsegment").distinct().select("c_mktsegment", F.pmod(F.xxhash64("c_mktsegment"), F.lit(1 << 30)).cast("int").alias("id"))
+    seg = C.random_vectors(codes.select("id"), "segment", "id", 512, 4096)
+    nat = C.random_vectors(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")), "nation", "id", 512, 4096)
+    pairs = seg.withColumnRenamed("id", "sid").join(nat.withColumnRenamed("id", "nid").withColumnRenamed("trit", "b"), "dim").select("sid", "nid", "dim", (F.col("trit") * F.col("b")).cast("int").alias("trit"))
+    classes = pairs.select((F.col("sid").cast("bigint") * 64 + F.col("nid")).alias("pair"), "dim", "trit")
+    found = factorise(classes, seg, nat, "pair", 3)  # equal pairs have equal vectors, so each is factored once
+    named = c.join(codes, "c_mktsegment").withColumn("pair", F.col("id").cast("bigint") * 64 + F.col("c_nationkey"))
+    return named.join(found, "pair").select("c_custkey", (F.col("first_id") == F.col("id")).alias("segment_right"), F.col("second_id").alias("c_nationkey"), "score")
+
+
+@query("v18_principal_basis")
+def _(spark, sf_dir):
+    from ..operators.resonator import principal_basis
+
+    return principal_basis(table(spark, sf_dir, "embeddings"), "embedding", 8)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,38 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..shared import removed, shared_dir, written
+
+__all__ = ["arrow_schema", "map_rows", "pieces", "removed", "shared_dir", "table", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; only Spark opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_by_context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_by_context.get() if set_by_context.isDefined() else f"file://{tempfile.mkdtemp(prefix='tritloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """``df`` as a Parquet table in the shared folder, and its path: cuts lineage, outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tritloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def removed(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables made by :func:`written` that no later read needs."""
-    jvm = spark._jvm
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-
 def map_rows(df: DataFrame, columns: list[str], make: Callable[..., Callable], schema: str | T.StructType, *args) -> DataFrame:
     """``mapInArrow`` over ``columns``: ``make(*args)`` runs once a task and returns batch -> dict of lists."""
 

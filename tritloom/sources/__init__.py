@@ -61,7 +61,7 @@ def dataset(spark: SparkSession, path: str, kind: str, schema: str | None = None
     """Reads txt, md, rst, code, json, jsonl, csv, tsv, xml, parquet, orc, html, pdf or warc."""
     reader = spark.read.schema(schema) if schema else spark.read
     if kind in ("txt", "md", "rst", "code"):
-        return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     if kind == "lines":
         return spark.read.text(path).select(F.col("value").alias("text"))
     if kind in ("json", "jsonl"):
@@ -76,11 +76,11 @@ def dataset(spark: SparkSession, path: str, kind: str, schema: str | None = None
         text = F.col("value")
         for pattern, by in _html_text:
             text = F.regexp_replace(text, pattern, by)
-        return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.trim(text).alias("text"))
+        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.trim(text).alias("text"))
     if kind == "pdf":
         return pdf_texts(directory(spark, path))
     if kind == "warc":
-        return warc_records(spark.read.option("lineSep", "WARC/1.0\r\n").text(path))
+        return warc_records(spark.read.text(path, lineSep="WARC/1.0\r\n"))
     raise ValueError(f"no reader for {kind}")
 
 

@@ -12,7 +12,7 @@ Before any of this, texts and windows without a *cover word* are passed over. Co
 1 - ``CONTAINED`` of every template's shingles hold one; a text without any can't reach the containment, so nothing
 is lost and most texts cost one pattern search.
 
-The template table is read as it is; Spark broadcasts it only below its own size threshold.
+The template table is a stated set; it is counted, and broadcast up to ``BROADCAST_TEMPLATES`` rows.
 
 Defined results: null texts, and texts or templates of under five words, match nothing; rows with equal ids count as one
 document; equal containments are one row, as there is one row for each document and license.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 SHINGLE, BANDS, CONTAINED = 5, 16, 0.8
+#: Template tables of at most so many rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_TEMPLATES = 2000
 
 #: Public license notices, as they stand in sources and at the foot of texts.
 TEMPLATES = [
@@ -86,35 +88,35 @@ def scan(docs: DataFrame, known: DataFrame, cover: list[str], *, doc_id: str = "
     Returns doc_id, license_id, containment, n_windows (windows that hold it), first_word (where the first starts).
     """
     known = known.select("license_id", F.expr(_WORDS.format("text")).alias("tw"))
-    known = known.select("license_id", F.expr(f"array_distinct({_SHINGLES.format('tw')})").alias("tsh"), F.size(F.expr(_SHINGLES.format("tw"))).alias("m")).where("m > 0")
+    known = known.select("license_id", F.expr(f"array_distinct({_SHINGLES.format('tw')})").alias("tsh"), F.expr(f"greatest(0, size(tw) - {SHINGLE - 1})").alias("m")).where("m > 0")
     known = known.withColumn("tsig", F.expr(_SIGNATURE.format("tsh")))
-    sizes = [r["m"] for r in known.select("m").distinct().collect()]  # a few lengths
+    lengths = {r["m"]: r["n"] for r in known.groupBy("m").agg(F.count("*").alias("n")).collect()}  # a few lengths
+    if not lengths:
+        return docs.select(F.col(doc_id).alias("doc_id"), F.lit("").alias("license_id"), F.lit(0.0).alias("containment"), F.lit(0).cast("bigint").alias("n_windows"), F.lit(0).cast("bigint").alias("first_word")).where("false")
     by_band = known.select("license_id", "tsh", "tsig", F.col("m").alias("tm"), F.posexplode("tsig").alias("tband", "tv"))
+    if sum(lengths.values()) <= BROADCAST_TEMPLATES:
+        by_band = F.broadcast(by_band)
 
+    # Outer generators: others get a filter that works their arrays out a second time.
     names = ", ".join(f"'{w}'" for w in cover)
-    pattern = "(?<![\\\\p{L}\\\\p{N}])(" + "|".join(cover) + ")(?![\\\\p{L}\\\\p{N}])"
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where(f"lower(t) rlike '{pattern}'")
-    found = found.select("doc_id", F.expr(_WORDS.format("t")).alias("w"))
-    found = found.select(
-        "doc_id",
-        F.expr(_SHINGLES.format("w")).alias("sh"),
-        F.expr(f"transform(w, x -> x in ({names}))").alias("has"),
-    ).where("size(sh) > 0")
-    found = found.select("doc_id", "sh", F.expr(f"transform(sequence(0, size(sh) - 1), i -> array_contains(slice(has, i + 1, {SHINGLE}), true))").alias("covered"))
-    starts = "filter(sequence(0, size(sh) - 1, s), i -> array_contains(slice(covered, i + 1, m + s), true))"
-    lengths = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(max(1, m // 4)).alias("s")) for m in sorted(sizes)])
-    windows = found.select("doc_id", "sh", "covered", F.explode(lengths).alias("size")).select("doc_id", "sh", "covered", "size.m", "size.s")
-    windows = windows.select("doc_id", "sh", "m", "s", F.explode(F.expr(starts)).alias("at"))
-    windows = windows.select("doc_id", "m", "at", F.expr("slice(sh, at + 1, m + s)").alias("win"))
-    windows = windows.select("doc_id", "m", "at", "win", F.expr(_SIGNATURE.format("win")).alias("sig"))
-    banded = windows.select("*", F.posexplode("sig").alias("band", "v"))
+    stems = [w for w in cover if not any(x != w and x in w for x in cover)]
+    low = docs.select(F.col(doc_id).alias("doc_id"), F.lower(text).alias("t"))
+    found = low.where(" or ".join(f"contains(t, '{w}')" for w in stems)).select("doc_id", F.expr(_WORDS.replace("lower({0})", "{0}").format("t")).alias("w"))
+    places = f"filter(transform(w, (x, i) -> if(x in ({names}), i, -1)), i -> i >= 0)"
+    found = found.select("doc_id", "w", F.expr(places).alias("places"))
+    # Starts of windows, on their grid, whose shingles take in a place; a window is its words and SHINGLE - 1 more.
+    grid = "filter(array_distinct(flatten(transform(places, p -> sequence({s} * ceil(greatest(0, p - {reach}) / {s}), {s} * (p div {s}), {s})))), at -> at <= size(w) - " + str(SHINGLE) + ")"
+    each = [f"transform({grid.format(s=max(1, m // 4), reach=SHINGLE - 2 + m + max(1, m // 4))}, at -> named_struct('m', {m}, 'at', cast(at as bigint), 'ws', slice(w, cast(at as int) + 1, {m + max(1, m // 4) + SHINGLE - 1})))" for m in sorted(lengths)]
+    windows = found.select("doc_id", F.explode_outer(F.expr(f"concat({', '.join(each)})")).alias("x")).where("x is not null")
+    windows = windows.select("doc_id", "x.m", "x.at", F.expr(_SHINGLES.format("x.ws")).alias("win"))
+    banded = windows.select("*", F.expr(_SIGNATURE.format("win")).alias("sig")).select("*", F.posexplode_outer("sig").alias("band", "v"))
     met = banded.join(by_band, (F.col("m") == F.col("tm")) & (F.col("band") == F.col("tband")) & (F.col("v") == F.col("tv")))
     met = met.where(f"filter(sequence(0, {BANDS - 1}), k -> sig[k] = tsig[k])[0] = band")  # each pair once
     held = met.select("doc_id", "license_id", "at", (F.size(F.array_intersect("tsh", "win")) / F.size("tsh")).alias("share"))
     return (
         held.where(F.col("share") >= CONTAINED)
         .groupBy("doc_id", "license_id")
-        .agg(F.round(F.max("share"), 6).alias("containment"), F.countDistinct("at").alias("n_windows"), F.min("at").cast("bigint").alias("first_word"))
+        .agg(F.round(F.max("share"), 6).alias("containment"), F.countDistinct("at").alias("n_windows"), F.min("at").alias("first_word"))
     )
 
 

@@ -54,12 +54,19 @@ def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     found = find_words(text.lower()) if text else []
     if not has_letter(found):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    total = np.zeros(BUCKETS, np.int64)
     words: dict[str, int] = {}
     for w in found:
         words[w] = words.get(w, 0) + 1
-    for w, n in words.items():
-        np.add.at(total, buckets_of(w), n)
+    total = np.zeros(BUCKETS, np.int64)
+    every = list(words.items())
+    for k in range(0, len(every), 20_000):
+        at: list[int] = []
+        n: list[int] = []
+        for w, times in every[k : k + 20_000]:
+            own = buckets_of(w)
+            at += own
+            n += [times] * len(own)
+        total += np.bincount(at, n, BUCKETS).astype(np.int64)
     at = np.flatnonzero(total)
     return at, total[at]
 

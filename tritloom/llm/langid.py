@@ -1,7 +1,8 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax, with calibrated rejection.
 
 A text is lower-cased; its features are, for every word (run of letters) between ``<`` and ``>``, the byte n-grams of
-2 to 4 bytes and the word itself, hashed by CRC-32 into ``BUCKETS`` rows of an embedding matrix. The mean of a text's
+2 to 4 bytes and the word itself, hashed (rolling and multiplicative, and CRC-32) into ``BUCKETS`` rows of an embedding
+matrix. The mean of a text's
 feature rows goes through a linear layer and a softmax. Both matrices are trained by stochastic gradient descent in
 numpy on a bounded sample: at most ``PER_LANGUAGE`` labelled texts of each language, picked by a hash of the id; what
 comes to the driver for each is its bucket counts, of at most ``BUCKETS`` entries. A fifth of the sample is kept out of
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, map_rows, pieces, table
 
-BUCKETS, WIDTH, EPOCHS, RATE = 1 << 15, 16, 6, 0.5
+BITS, WIDTH, EPOCHS, RATE = 15, 16, 6, 0.5
+BUCKETS = 1 << BITS
 PER_LANGUAGE = 400
 REJECTED, MOST_BOUND = 0.001, 0.5
 CACHED = 150_000
@@ -41,12 +43,23 @@ def has_letter(found: list[str]) -> bool:
     return bool(found) and (found[0].isalpha() or any(c.isalpha() for w in found for c in w))
 
 
-def buckets_of(word: str) -> list[int]:
-    raw, crc, top = b"<" + word.encode("utf-8", "surrogatepass") + b">", zlib.crc32, BUCKETS - 1
-    n = len(raw)
-    out = [crc(raw[i : i + k]) & top for k in (2, 3, 4) for i in range(n - k + 1)]
-    out.append(crc(raw) & top)
-    return out
+def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all features of some words, and the index of the word that each is of."""
+    raw = [b"<" + w.encode("utf-8", "surrogatepass") + b">" for w in words]
+    sizes = np.array([len(x) for x in raw])
+    total, every = int(sizes.sum()), np.arange(len(raw))
+    owner = np.repeat(every, sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(total)  # bytes to the end of the word
+    code = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    found, of, rolled = [], [], code
+    for n in (2, 3, 4):
+        rolled = rolled[:-1] * np.uint64(257) + code[n - 1 :]
+        inside = left[: total - n + 1] >= n
+        mixed = (rolled[inside] * np.uint64(8) + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+        found.append((mixed >> np.uint64(64 - BITS)).astype(np.int64))
+        of.append(owner[: total - n + 1][inside])
+    found.append(np.array([zlib.crc32(x) & BUCKETS - 1 for x in raw], dtype=np.int64))
+    return np.concatenate(found), np.concatenate([*of, every])
 
 
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -60,13 +73,9 @@ def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(BUCKETS, np.int64)
     every = list(words.items())
     for k in range(0, len(every), 20_000):
-        at: list[int] = []
-        n: list[int] = []
-        for w, times in every[k : k + 20_000]:
-            own = buckets_of(w)
-            at += own
-            n += [times] * len(own)
-        total += np.bincount(at, n, BUCKETS).astype(np.int64)
+        part = every[k : k + 20_000]
+        at, owner = buckets_of([w for w, _ in part])
+        total += np.bincount(at, np.array([n for _, n in part])[owner], BUCKETS).astype(np.int64)
     at = np.flatnonzero(total)
     return at, total[at]
 
@@ -129,13 +138,13 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.sums = np.zeros((CACHED, len(model.bias) + 1))
 
-    def _row(self, word: str) -> int:
-        at = buckets_of(word)
-        row = len(self.known)
-        self.known[word] = row
-        self.sums[row, :-1] = self.model.table[at].sum(axis=0)
-        self.sums[row, -1] = len(at)
-        return row
+    def _learn(self, words: list[str]) -> None:
+        at, owner = buckets_of(words)
+        first, n = len(self.known), len(words)
+        for k in range(len(self.model.bias)):
+            self.sums[first : first + n, k] = np.bincount(owner, self.model.table[at, k], n)
+        self.sums[first : first + n, -1] = np.bincount(owner, minlength=n)
+        self.known.update(zip(words, range(first, first + n), strict=True))
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         model, found = self.model, find_words(text.lower()) if text else []
@@ -146,8 +155,10 @@ class Scorer:
             part = found[k : k + 50_000]
             if len(self.known) + len(part) > CACHED:
                 self.known.clear()
-            get, new = self.known.get, self._row
-            rows = [r if (r := get(w)) is not None else new(w) for w in part]
+            known = self.known
+            if new := set(part).difference(known):
+                self._learn(sorted(new))
+            rows = [known[w] for w in part]
             total += self.sums[rows].sum(axis=0)
         scores = softmax((total[:-1] / total[-1] + model.bias) / model.temperature)
         best = int(scores.argmax())

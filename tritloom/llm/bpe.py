@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, table
 
 #: Pieces no longer than this are remembered: the last so many new ones and those used since, at most twice as many.
-CACHED_CHARS, CACHED_PIECES = 48, 300_000
+CACHED_CHARS, CACHED_PIECES = 48, 250_000
 ENCODED = "doc_id bigint, n_tokens bigint, ids binary"
 
 
@@ -96,7 +96,7 @@ class BytePairCoder:
                 right = inner
 
     def _fits(self, left: int, right: int) -> bool:
-        if len(self.compatible) > 1_000_000:
+        if len(self.compatible) > 300_000:
             self.compatible.clear()
         known = self.compatible[left << 32 | right] = self._keeps(left, right)
         return known
@@ -156,13 +156,12 @@ class BytePairCoder:
         return b"".join(out)
 
     def _new(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
+        ids = self.pieces.get(piece) or self.older.get(piece)
         if ids is None:
             ids = packed(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
         if len(piece) <= CACHED_CHARS:
             if len(self.pieces) >= CACHED_PIECES:
-                self.older = self.pieces.copy()
-                self.pieces.clear()
+                self.older, self.pieces = self.pieces, {}
             self.pieces[piece] = ids
         return ids
 

@@ -127,3 +127,18 @@ def test_streams_equal_batches(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sum(seen) == streaming.alerts(batch, "value", 90.0).count()
+
+
+def test_fsck_and_custom_operation(spark):
+    import pytest
+
+    from tritloom.operators import algebra as A
+
+    current = spark.createDataFrame([("a", 2, False), ("b", 1, False), ("c", 0, False), ("d", 1, True), ("e", 3, False), ("f", 1, False)], "path string, n_chunks bigint, deleted boolean")
+    engrams = spark.createDataFrame([("a", 0), ("a", 1), ("d", 0), ("e", 0), ("f", 0), ("f", 1)], "path string, chunk_no int")
+    assert {r.path: r.problem for r in M.fsck(current, engrams).collect()} == {"b": "no_engram", "d": "orphan", "e": "chunks_missing", "f": "chunks_beyond_end"}
+    A.register_operation("nand_for_test", lambda x, y: -F.least(x, y))
+    a = spark.createDataFrame([(1, 0, 1), (1, 1, -1)], "vec_id bigint, dim int, trit int")
+    assert {r.dim: r.trit for r in A.compute(a, a, "nand_for_test", "vec_id", 2).collect()} == {0: -1, 1: 1}
+    with pytest.raises(ValueError):
+        A.register_operation("and", F.least)

@@ -112,6 +112,13 @@ OPERATIONS = {
 }
 
 
+def register_operation(name: str, operation) -> None:
+    """Adds an operation of two trit columns to those of :func:`compute`; zero for two zeros, as those aren't stored."""
+    if name in OPERATIONS:
+        raise ValueError(f"{name} is defined already")
+    OPERATIONS[name] = operation
+
+
 def compute(a: DataFrame, b: DataFrame, operation: str, key: str, dims: int) -> DataFrame:
     """Ternary logic and arithmetic between equal keys; absent dims are zeros. Kleene's min and max for and/or.
 

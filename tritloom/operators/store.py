@@ -117,3 +117,19 @@ def verified(original: DataFrame, extracted: DataFrame, key: str, digest: str) -
     e = extracted.select(key, F.col(digest).alias("__e"), F.lit(True).alias("__in_e"))
     status = F.when(F.col("__in_e").isNull(), "missing").when(F.col("__in_o").isNull(), "unexpected").when(F.col("__o").eqNullSafe(F.col("__e")), "ok").otherwise("differs")
     return o.join(e, key, "full").select(key, status.alias("status"))
+
+
+def fsck(current: DataFrame, engrams: DataFrame, ident: str = "path") -> DataFrame:
+    """(ident, problem) of live files: no_engram, chunks_missing, chunks_beyond_end; and orphan for engrams of no live file.
+
+    engrams: ident, chunk_no and more; empty files need no engram.
+    """
+    held = engrams.groupBy(ident).agg(F.countDistinct("chunk_no").alias("__n"), F.max("chunk_no").alias("__last"))
+    both = live(current).select(ident, "n_chunks").join(held, ident, "full")
+    problem = (
+        F.when(F.col("n_chunks").isNull(), "orphan")
+        .when(F.col("__n").isNull() & (F.col("n_chunks") > 0), "no_engram")
+        .when(F.col("__last") >= F.col("n_chunks"), "chunks_beyond_end")
+        .when(F.col("__n") < F.col("n_chunks"), "chunks_missing")
+    )
+    return both.select(ident, problem.alias("problem")).where("problem is not null")

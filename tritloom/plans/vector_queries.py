@@ -259,6 +259,19 @@ def _(spark, sf_dir):
     return C.reconstruct(decoded, fixes, sizes, "item_id").select("item_id", F.lower("hex").alias("hex"))
 
 
+_FILE_TRITS = "ft AS (SELECT item_id, dim, CAST(sign(sum(trit)) AS INTEGER) AS trit FROM engrams GROUP BY item_id, dim HAVING sum(trit) <> 0), fn AS (SELECT item_id, count(*) AS nnz FROM ft GROUP BY item_id)"
+
+
+@query("w12_text_query", f"""WITH {_BOUND}, {_BYTES}, {_ENGRAMS}, {_FILE_TRITS}, d AS (SELECT q.item_id AS query_id, v.item_id, count(*) AS overlap, CAST(sum(q.trit * v.trit) AS BIGINT) AS dot FROM ft q JOIN ft v ON q.dim = v.dim AND q.item_id <> v.item_id WHERE q.item_id % 50 = 0 GROUP BY ALL),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, item_id) AS c FROM d) WHERE c <= 50), s AS (SELECT query_id, c.item_id, round(dot / sqrt(CAST(a.nnz * b.nnz AS DOUBLE)), 6) AS score FROM c JOIN fn a ON a.item_id = c.item_id JOIN fn b ON b.item_id = query_id)
+SELECT query_id, rank, item_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s) WHERE rank <= {K}""")
+def _(spark, sf_dir):
+    """Texts nearest to the stated query texts by their encoded engrams."""
+    engrams = A.bundle_many(_encoded(spark, sf_dir)[2], ["item_id"])
+    queries = engrams.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "dim", "trit")
+    return S.two_stage(engrams, queries, 50, K, "item_id")
+
+
 def packed(spark, sf_dir):
     return S.pack(trits(spark, sf_dir), "vec_id", D)
 

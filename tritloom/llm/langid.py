@@ -168,7 +168,7 @@ class Scorer:
 def _counts_step():
     def step(batch: pa.RecordBatch) -> dict:
         found = [counted(x) for x in batch.column(1).to_pylist()]
-        return {"id": batch.column(2), "label": batch.column(0), "at": [a.tolist() for a, _ in found], "n": [n.tolist() for _, n in found]}
+        return {"id": batch.column(2), "label": batch.column(0), "at": [a.astype("<i4").tobytes() for a, _ in found], "n": [n.astype("<i4").tobytes() for _, n in found]}
 
     return step
 
@@ -182,9 +182,9 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", doc_id: str
         return train([])
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(1_000_000 * min(1.0, per_language / n)))])
     picked = rows.where(F.col("draw") < share[F.col("label")]).select("label", "text", "id")
-    found = map_rows(picked, ["label", "text", "id"], _counts_step, "id string, label string, at array<int>, n array<int>").collect()
-    sample = sorted((r["id"] or "", r["label"], r["at"], r["n"]) for r in found if r["at"])
-    return train([(lab, np.array(at), np.array(n, dtype=np.float64)) for _, lab, at, n in sample])
+    found = map_rows(picked, ["label", "text", "id"], _counts_step, "id string, label string, at binary, n binary").collect()
+    sample = sorted((r["id"] or "", r["label"], bytes(r["at"]), bytes(r["n"])) for r in found if r["at"])
+    return train([(lab, np.frombuffer(at, "<i4"), np.frombuffer(n, "<i4")) for _, lab, at, n in sample])
 
 
 def _score_step(shared):

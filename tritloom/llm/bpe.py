@@ -229,6 +229,18 @@ def _decode_step(path: str, pattern: str):
     return step
 
 
+def both_ways(path: str, pattern: str):
+    """Step for whole rows with a text: all columns, n_tokens, __ids and __decoded."""
+    both = coder(path, pattern)
+
+    def step(batch: pa.RecordBatch) -> dict:
+        ids = [both.encode(x) for x in batch.column("text").to_pylist()]
+        own = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        return own | {"n_tokens": [len(x) // 4 for x in ids], "__ids": ids, "__decoded": [both.decode(x) for x in ids]}
+
+    return step
+
+
 def encode(docs: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers, as token shards hold them)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

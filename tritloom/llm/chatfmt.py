@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 BUDGET, HISTORY = 1024, 2
 TURN, COLON, END = "### ", ": ", " </turn>\n"
@@ -159,6 +159,7 @@ def windows(conversations: DataFrame, *, budget: int = BUDGET, history: int = HI
 
     A row is a window: its text, how many turns it repeats and how many are new, and the spans of the loss mask.
     """
+    ship(conversations.sparkSession)
     turns = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return turns.select("conv_id", "role", "text").mapInArrow(_format(budget, history), WINDOWS)
 
@@ -205,6 +206,7 @@ def _read_back():
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Counts and digests of each conversation, read from its windows in order; see :func:`windows`."""
+    ship(formatted.sparkSession)
     return formatted.mapInArrow(_read_back(), REPORT)
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..shared import removed, shared_dir, written
+from ..shared import removed, shared_dir, ship, written
 
-__all__ = ["arrow_schema", "map_rows", "pieces", "removed", "shared_dir", "table", "written"]
+__all__ = ["arrow_schema", "map_rows", "pieces", "removed", "shared_dir", "ship", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,7 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[..., Callable], s
                 yield pa.RecordBatch.from_pydict(step(piece), schema=arrow)
 
     arrow = arrow_schema(schema)
+    ship(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pieces, table
+from .common import map_rows, pieces, ship, table
 
 WINDOW = 10
 BLOCK = 2
@@ -153,6 +153,7 @@ def find_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
 def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, whole, in which no benchmark passage occurs."""
     at, schema = docs.columns.index(text), docs.schema
+    ship(docs.sparkSession)
 
     def without(shared, key):
         def run(batches):

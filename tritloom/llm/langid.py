@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_rows, pieces, table
+from .common import map_rows, pieces, ship, table
 
 BITS, WIDTH, EPOCHS, RATE = 15, 16, 6, 0.5
 BUCKETS = 1 << BITS
@@ -208,6 +208,7 @@ def accepted(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, whose language is not rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
+    ship(docs.sparkSession)
 
     def run(batches):
         scorer = Scorer(shared.value)

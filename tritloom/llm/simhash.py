@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, removed, table, written
+from .common import map_rows, removed, ship, table, written
 
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Fingerprints of a bucket that are searched in one task.
@@ -172,6 +172,7 @@ def _bucket_links(bits: int, most: int | None):
 
 def _in_buckets(keyed: DataFrame, bits: int, most: int | None) -> DataFrame:
     """keyed: key, sub, mark."""
+    ship(keyed.sparkSession)
     dealt = keyed.repartition(F.col("key"), F.col("sub")).sortWithinPartitions("key", "sub", "mark")
     return dealt.mapInArrow(_bucket_links(bits, most), LINKS)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 BLOCK, QUERIES, K = 16384, 4096, 20
 SCHEMA = "q int, query_id bigint, vec_id bigint, score bigint"
@@ -133,6 +133,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, block: int = BL
     """vectors and queries: vec_id bigint, v array<bigint>. Returns query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     vectors, queries = (x.select("vec_id", "v").where("vec_id is not null and v is not null") for x in (vectors, queries))
+    ship(spark)
     passes = max(1, -(-queries.count() // per_pass))
     found = None
     for p in range(passes):

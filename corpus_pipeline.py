@@ -15,7 +15,6 @@ All stages return an empty table for an empty one, keep extra columns, and treat
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,22 +47,11 @@ def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _coded(path: str, pattern: str):
-    coder = bpe.coder(path, pattern)
-
-    def step(batch: pa.RecordBatch) -> dict:
-        ids = [coder.encode(x) for x in batch.column("text").to_pylist()]
-        own = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-        return own | {"n_tokens": [len(x) // 4 for x in ids], "__ids": ids, "__decoded": [coder.decode(x) for x in ids]}
-
-    return step
-
-
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256")
     columns = [f"`{c}`" for c in docs.columns]
     schema = T.StructType([*docs.schema, T.StructField("n_tokens", T.LongType()), T.StructField("__ids", T.BinaryType()), T.StructField("__decoded", T.BinaryType())])
-    out = map_rows(docs, columns, _coded, schema, *bpe.vocabulary())
+    out = map_rows(docs, columns, bpe.both_ways, schema, *bpe.vocabulary())
     return out.select(*columns, "n_tokens", F.sha2("__ids", 256).alias("ids_sha256"), F.sha2("__decoded", 256).alias("decoded_sha256"))
 
 

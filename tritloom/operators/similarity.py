@@ -7,6 +7,8 @@ counted before it is broadcast.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,7 +114,11 @@ def overlaps(trits: DataFrame, queries: DataFrame, key: str = "vec_id") -> DataF
 
 
 def two_stage(trits: DataFrame, queries: DataFrame, candidates: int, k: int, key: str = "vec_id") -> DataFrame:
-    """Candidates by overlap from the inverted index, then exact cosine among them."""
+    """Candidates by overlap from the inverted index, then exact cosine among them.
+
+    A fixed number of candidates loses neighbours, the more the more rows there are; :func:`two_stage_exact` and
+    :func:`probe_exact` lose none.
+    """
     nnz = trits.groupBy(key).agg(F.count("*").alias("nnz"))
     qn = queries.groupBy("query_id").agg(F.count("*").alias("qn"))
     top = overlaps(trits, queries, key)
@@ -122,6 +128,52 @@ def two_stage(trits: DataFrame, queries: DataFrame, candidates: int, k: int, key
     return ranked(scored, k, key)
 
 
+def two_stage_exact(packed: DataFrame, queries: DataFrame, dims: int, candidates: int, k: int, key: str = "vec_id") -> DataFrame:
+    """The exact top k in two stages: bounds from supports alone, then cosine of the rows whose bound still reaches.
+
+    No cosine exceeds overlap / sqrt(nnz * qnnz). The ``candidates`` rows of highest bound give a kth score, and every
+    row whose bound is at least that score is scored, however many these are; ``candidates`` changes the work only.
+    queries: query_id, qpos, qneg.
+    """
+    found = None
+    words = -(-dims // WORD)
+    bits = lambda f: sum((F.expr(f"bit_count({f.format(w)})") for w in range(1, words)), F.expr(f"bit_count({f.format(0)})"))
+    rows = packed.select(key, F.col("pos").alias("apos"), F.col("neg").alias("aneg"), bits("pos[{0}] | neg[{0}]").alias("na"))
+    overlap = bits("(apos[{0}] | aneg[{0}]) & (bpos[{0}] | bneg[{0}])")
+    bound = F.when((F.col("na") > 0) & (F.col("nb") > 0), F.round(overlap / F.sqrt((F.col("na") * F.col("nb")).cast("double")), 6)).otherwise(0.0)
+    sides = ["query_id", key, "apos", "aneg", "bpos", "bneg"]
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return ranked(pair_metrics(pairs, ["query_id", key], dims).select("query_id", key, F.col("cosine").alias("score")), k, key)
+
+    for block in query_blocks(queries):
+        q = block.select("query_id", F.col("qpos").alias("bpos"), F.col("qneg").alias("bneg"), bits("qpos[{0}] | qneg[{0}]").alias("nb"))
+        pairs = rows.join(F.broadcast(q), F.col("query_id") != F.col(key))
+        order = Window.partitionBy("query_id").orderBy(F.desc("bound"), key)
+        seeds = pairs.select("query_id", key, bound.alias("bound")).withColumn("c", F.row_number().over(order)).where(F.col("c") <= max(candidates, k))
+        seeds = seeds.select("query_id", key).join(rows, key).join(F.broadcast(q), "query_id")
+        reached = scored(seeds.select(*sides)).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        q = q.join(reached, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-1.0)))
+        one = scored(rows.join(F.broadcast(q), (F.col("query_id") != F.col(key)) & (bound >= F.col("least"))).select(*sides))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def probe_exact(trits: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
+    """The exact top k from the inverted index, for sparse vectors: every row that shares a dim is scored.
+
+    Rows that share none score 0; they are met only for queries with fewer than k scores above 0.
+    """
+    nnz = trits.groupBy(key).agg(F.count("*").alias("nnz"))
+    qn = queries.groupBy("query_id").agg(F.count("*").alias("qn"))
+    score = F.round(F.col("dot") / F.sqrt((F.col("nnz") * F.col("qn")).cast("double")), 6).alias("score")
+    scored = overlaps(trits, queries, key).join(nnz, key).join(qn, "query_id").select("query_id", key, score)
+    enough = scored.where(F.col("score") > 0).groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = qn.select("query_id").join(enough, "query_id", "left_anti")
+    apart = nnz.select(key).join(short, F.col("query_id") != F.col(key)).join(scored.select("query_id", key), ["query_id", key], "left_anti")
+    return ranked(scored.unionByName(apart.select("query_id", key, F.lit(0.0).alias("score"))), k, key)
+
+
 def approximate(trits: DataFrame, queries: DataFrame, rarest: int, k: int, key: str = "vec_id") -> DataFrame:
     """Probes only each query's ``rarest`` dims (by posting length), then scores what they reach exactly."""
     lengths = trits.groupBy("dim").agg(F.count("*").alias("n"))
@@ -153,6 +205,40 @@ def hierarchical(packed: DataFrame, groups: DataFrame, prototypes: DataFrame, qu
     return ranked(found, k, key)
 
 
+def hierarchical_exact(packed: DataFrame, groups: DataFrame, prototypes: DataFrame, queries: DataFrame, dims: int, beam: int, k: int, key: str = "vec_id") -> DataFrame:
+    """The exact top k over two levels: the ``beam`` nearest groups give a kth score, then every group is searched
+    whose bound reaches it.
+
+    By the triangle inequality of angles, no member is nearer to the query than the angle to the group's bundle less
+    the widest angle from that bundle to a member. Arguments as of :func:`hierarchical`; every row has a group.
+    """
+    found = None
+    cosine = lambda same, opposite, na, nb: F.when((na > 0) & (nb > 0), (same - opposite) / F.sqrt((na * nb).cast("double"))).otherwise(0.0)
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(*packed_counts("a", "b")))))
+    members = packed.join(groups, key).select("group_id", key, F.col("pos").alias("apos"), F.col("neg").alias("aneg"))
+    protos = prototypes.select("group_id", F.col("pos").alias("bpos"), F.col("neg").alias("bneg"))
+    # A bundle whose votes are all tied has no trits and no prototype: its group is always searched.
+    width = members.join(F.broadcast(protos), "group_id", "left").groupBy("group_id").agg(F.max(F.when(F.col("bpos").isNull(), F.lit(math.pi)).otherwise(angle)).alias("width"))
+    level_groups = width.join(prototypes, "group_id", "left").select("group_id", "width", F.col("pos").alias("apos"), F.col("neg").alias("aneg"))
+
+    def scored(beams: DataFrame, q: DataFrame) -> DataFrame:
+        asked = F.broadcast(beams.select("query_id", "group_id").join(q, "query_id"))
+        pairs = members.join(asked, "group_id").where(F.col("query_id") != F.col(key)).select("query_id", key, "apos", "aneg", "bpos", "bneg")
+        return ranked(pair_metrics(pairs, ["query_id", key], dims).select("query_id", key, F.col("cosine").alias("score")), k, key)
+
+    for block in query_blocks(queries):
+        q = block.select("query_id", F.col("qpos").alias("bpos"), F.col("qneg").alias("bneg"))
+        away = F.when(F.col("apos").isNull(), F.lit(0.0)).otherwise(angle - F.col("width"))
+        level = level_groups.join(F.broadcast(q)).select("query_id", "group_id", F.cos(F.greatest(F.lit(0.0), away)).alias("bound"), F.coalesce(F.when(F.col("apos").isNotNull(), angle), F.lit(math.pi)).alias("angle"))
+        order = Window.partitionBy("query_id").orderBy("angle", "group_id")
+        first = scored(level.withColumn("r", F.row_number().over(order)).where(F.col("r") <= beam), q)
+        reached = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        wide = level.join(reached, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") + 1e-6 >= F.col("least")))
+        one = scored(wide, q)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def shift_sweep(trits: DataFrame, queries: DataFrame, shifts: list[int], dims: int, k: int, key: str = "vec_id") -> DataFrame:
     """Each query is tried at all shifts; a row keeps its best dot and the smallest shift that gives it."""
     moved = queries.select("query_id", F.explode(F.array(*map(F.lit, shifts))).alias("shift"), "dim", "trit")

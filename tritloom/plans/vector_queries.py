@@ -272,6 +272,16 @@ def _(spark, sf_dir):
     return S.two_stage(engrams, queries, 50, K, "item_id")
 
 
+@query("w12_text_query_exact", f"""WITH {_BOUND}, {_BYTES}, {_ENGRAMS}, {_FILE_TRITS}, d AS (SELECT q.item_id AS query_id, v.item_id, CAST(sum(q.trit * v.trit) AS BIGINT) AS dot FROM ft q JOIN ft v ON q.dim = v.dim AND q.item_id <> v.item_id WHERE q.item_id % 50 = 0 GROUP BY ALL),
+s AS (SELECT b.item_id AS query_id, a.item_id, coalesce(round(dot / sqrt(CAST(a.nnz * b.nnz AS DOUBLE)), 6), 0) AS score FROM fn b JOIN fn a ON b.item_id % 50 = 0 AND a.item_id <> b.item_id LEFT JOIN d ON d.query_id = b.item_id AND d.item_id = a.item_id)
+SELECT query_id, rank, item_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s) WHERE rank <= {K}""")
+def _(spark, sf_dir):
+    """As w12_text_query, with no limit of candidates."""
+    engrams = A.bundle_many(_encoded(spark, sf_dir)[2], ["item_id"])
+    queries = engrams.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "dim", "trit")
+    return S.probe_exact(engrams, queries, K, "item_id")
+
+
 def packed(spark, sf_dir):
     return S.pack(trits(spark, sf_dir), "vec_id", D)
 
@@ -365,6 +375,12 @@ def _(spark, sf_dir):
     return S.two_stage(t, query_trits(t), 50, K)
 
 
+@query("w4_two_stage_exact", _EXACT.format(_BY["cosine"]))
+def _(spark, sf_dir):
+    p = packed(spark, sf_dir)
+    return S.two_stage_exact(p, query_set(p), D, 50, K)
+
+
 @query("w3_approximate", f"WITH {T}, {_SCORED}, len AS (SELECT dim, count(*) AS n FROM trits GROUP BY dim), pr AS (SELECT query_id, dim FROM (SELECT query_id, dim, row_number() OVER (PARTITION BY query_id ORDER BY n, dim) AS r FROM qs JOIN len USING (dim)) WHERE r <= 6), reach AS (SELECT DISTINCT query_id, vec_id FROM trits JOIN pr USING (dim)), c AS (SELECT scored.* FROM scored JOIN reach USING (query_id, vec_id)) {_RANK.format('c')}")
 def _(spark, sf_dir):
     t = trits(spark, sf_dir)
@@ -386,6 +402,14 @@ def _(spark, sf_dir):
     return S.hierarchical(p, groups, protos, query_set(p), D, 2, K)
 
 
+@query("w5_hierarchical_exact", _EXACT.format(_BY["cosine"]))
+def _(spark, sf_dir):
+    p = packed(spark, sf_dir)
+    groups = labels(spark, sf_dir).withColumnRenamed("label", "group_id")
+    protos = S.pack(prototypes(spark, sf_dir), "label", D).withColumnRenamed("label", "group_id")
+    return S.hierarchical_exact(p, groups, protos, query_set(p), D, 2, K)
+
+
 _SWEEP = f"""WITH {T}, {QS}, mv AS (SELECT query_id, s AS shift, CAST((dim + s) % {D} AS INTEGER) AS dim, q FROM qs, range(4) AS g(s)),
 d AS (SELECT query_id, vec_id, shift, CAST(sum(trit * q) AS BIGINT) AS dot FROM trits JOIN mv USING (dim) WHERE vec_id <> query_id GROUP BY query_id, vec_id, shift),
 b AS (SELECT query_id, vec_id, dot AS score, CAST(shift AS INTEGER) AS shift FROM (SELECT *, row_number() OVER (PARTITION BY query_id, vec_id ORDER BY dot DESC, shift) AS n FROM d) WHERE n = 1)

@@ -153,6 +153,15 @@ def test_page_extraction():
     assert len(htmlmain.main_text("<p>" + "x" * 300_000)[0]) == 300_000
 
 
+def test_long_tags_are_no_text():
+    uri = "data:image/png;base64," + "A" * 100_000
+    for tag in (f'<img src="{uri}">', f"<img alt='a > b' src={uri} >", f'<span data-state="{"<b>" * 40_000}">x</span>'):
+        got = htmlmain.main_text(f"<article><p>One {tag} two</p></article>")
+        assert got in (["One two"], ["One x two"])
+    for odd in ('<a b="' * 100_000, "<a b='\"c" * 100_000, "<a " * 100_000, '<p "<' * 100_000 + ">"):  # linear: quadratic takes minutes
+        htmlmain.main_text(odd)
+
+
 def test_line_blocks_sums_and_points():
     lines = [("menu", 4, 0), ("", 0, 0), ("a" * 100, 0, 0), ("b", 0, 0), ("c" * 90, 0, 0), ("", 0, 0), ("", 0, 0), ("", 0, 0), ("tail", 0, 0)]
     assert htmlmain.line_blocks(lines) == [2, 3, 4]

@@ -48,8 +48,8 @@ CUT_NAMES = frozenset(
 CUT_ARTICLE = frozenset("comment comments reply replies ad ads advert advertisement promo related recommended sponsored teaser".split())
 HEADER_NAMES = frozenset(("header", "head", "top", "site-header", "page-header"))
 
-_tag = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
-_loose_tag = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
+_open = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_stop = re.compile(r"[<>\"']")
 _named = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _parts = re.compile(r"[a-z]+|[0-9]+")
 _camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -78,6 +78,24 @@ def _is_cut(name: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """The place of the > that ends a tag whose attributes begin at ``at``, whatever their length; -1 if a < or an open
+    quote comes first. ``dead`` keeps the quotes from which no end was found, so a page is searched once."""
+    seen = []
+    while found := _stop.search(page, at):
+        place, mark = found.start(), found[0]
+        if mark == ">":
+            return place
+        if mark == "<" or place in dead:
+            break
+        seen.append(place)
+        at = page.find(mark, place + 1) + 1
+        if not at:
+            break
+    dead.update(seen)
+    return -1
+
+
 def lines_of(page: str) -> list[tuple[str, int, int]]:
     """(text, length of its linked part, number of its article or main part or 0) of each line; empty at section borders."""
     out: list[tuple[str, int, int]] = []
@@ -86,6 +104,8 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     linked = at = cut = mains = links = 0
     inside: list[int] = []
     n = len(page)
+    last = page.rfind(">")
+    dead: set[int] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -133,14 +153,17 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
             continue
-        found = _tag.match(page, lt, lt + 20_000) or _loose_tag.match(page, lt, lt + 20_000)
-        if not found:
+        found = _open.match(page, lt)
+        end = _tag_end(page, found.end(), dead) if found else -1
+        if found and end < 0 and found.end() <= last:
+            end = page.find(">", found.end())
+        if end < 0:
             if not cut:
                 buffer.append("<")
             at = lt + 1
             continue
-        at = found.end()
-        closing, name, attributes = found[1], found[2].lower(), found[3]
+        at = end + 1
+        closing, name, attributes = found[1], found[2].lower(), page[found.end() : end]
         if name == "a":
             links = 0 if closing else 1
             continue

@@ -162,6 +162,15 @@ def test_long_tags_are_no_text():
         htmlmain.main_text(odd)
 
 
+def test_cuts_go_by_whole_attributes_and_words():
+    kept = ('style="overflow:hidden"', 'data-hidden="false"', 'data-id="sidebar"', 'class="content no-sidebar"', "data-role=search", 'title="class=ad id=menu hidden"', 'class="has-comments" aria-hidden="false"')
+    for attributes in kept:
+        for name in ("article", "div"):
+            assert htmlmain.main_text(f"<{name} {attributes}><p>Text of the page.</p></{name}>") == ["Text of the page."], attributes
+    for attributes in ("hidden", 'HIDDEN=""', "class='big ad'", "id=sidebar", 'class="site-footer"', 'class="commentList"', 'data-x="hidden" role="search"', 'class = "comment-12"'):
+        assert htmlmain.main_text(f"<div {attributes}><p>Text of the page.</p></div><p>Rest.</p>") == ["Rest."], attributes
+
+
 def test_line_blocks_sums_and_points():
     lines = [("menu", 4, 0), ("", 0, 0), ("a" * 100, 0, 0), ("b", 0, 0), ("c" * 90, 0, 0), ("", 0, 0), ("", 0, 0), ("", 0, 0), ("tail", 0, 0)]
     assert htmlmain.line_blocks(lines) == [2, 3, 4]

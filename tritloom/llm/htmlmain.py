@@ -2,7 +2,9 @@
 
 Markup is stripped into lines, one for each block of text (the text between two block-level tags), with empty lines
 where sections begin and end. Scripts, styles, forms and whatever a tag name, role, class or id marks as menu, header,
-footer, sidebar, notice, advert or reader comments are cut out with all they hold. Over the lines a window of
+footer, sidebar, notice, advert or reader comments are cut out with all they hold; attributes are read by their whole
+names, and a class or id marks a cut only if nothing else stands in the word (site-footer does, no-sidebar doesn't).
+Over the lines a window of
 ``SPAN`` lines slides and sums text lengths; lines that are mostly links count as empty. The main text starts at a surge
 point, a window sum of ``SURGE`` or more, and ends at a dive point, a window without text; all lines between are kept.
 Where the page itself marks its article or main part, the borders of that part are the surge and dive points, whatever
@@ -46,11 +48,13 @@ CUT_NAMES = frozenset(
 )
 #: For the elements that hold the article.
 CUT_ARTICLE = frozenset("comment comments reply replies ad ads advert advertisement promo related recommended sponsored teaser".split())
+#: Parts that a name may hold besides one that marks a cut; with any other part, as in no-sidebar, the element stays.
+AROUND = frozenset("site page main global top bottom primary secondary list box area wrap wrapper container inner outer block section bar link links post posts article articles item items slot slots unit units zone space holder placeholder panel group thread form button buttons icon icons title".split())
 HEADER_NAMES = frozenset(("header", "head", "top", "site-header", "page-header"))
 
 _open = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _stop = re.compile(r"[<>\"']")
-_named = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_attribute = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|$)|'([^']*+)(?:'|$)|([^\s\"'>]++)))?")
 _parts = re.compile(r"[a-z]+|[0-9]+")
 _camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -60,21 +64,21 @@ def _is_cut(name: str, attributes: str, in_main: bool) -> bool:
         return True
     if not attributes or name in ("html", "body"):
         return False
-    for found in _named.finditer(attributes):
-        what = found[1].lower()
-        value = found[2] or found[3] or found[4] or ""
-        if what == "role":
-            if value.strip().lower() in CUT_ROLES:
-                return True
-        elif what == "hidden" or what == "aria-hidden" and value.lower() == "true":
-            if what == "hidden":
-                return True
-        elif what in ("class", "id"):
-            names = set(_parts.findall(_camel.sub(" ", value).lower()))
-            if names & (CUT_ARTICLE if name in ("article", "main") else CUT_NAMES):
-                return True
-            if not in_main and name not in ("article", "main") and names and names <= HEADER_NAMES | {"site", "page", "header"} and "header" in names:
-                return True
+    given: dict[str, str] = {}
+    for found in _attribute.finditer(attributes):
+        given.setdefault(found[1].lower(), found[2] or found[3] or found[4] or "")
+    if "hidden" in given or given.get("role", "").strip().lower() in CUT_ROLES:
+        return True
+    listed = CUT_ARTICLE if name in ("article", "main") else CUT_NAMES
+    for value in (given.get("class"), given.get("id")):
+        if not value:
+            continue
+        tokens = [set(_parts.findall(_camel.sub(" ", x).lower())) for x in value.split()]
+        if any(x & listed and all(part in listed or part in AROUND or part.isdigit() for part in x) for x in tokens):
+            return True
+        names = set().union(*tokens)
+        if not in_main and name not in ("article", "main") and names and names <= HEADER_NAMES | {"site", "page", "header"} and "header" in names:
+            return True
     return False
 
 

@@ -49,6 +49,18 @@ def test_pseudonyms_keep_format_and_link_equal_values(spark):
     assert masked(spark, texts[:1], key="other")[0][0] != got[0][0]
 
 
+def test_international_numbers_and_short_dates(spark):
+    phones = ["+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 901820", "+34 912 34 56 78", "+49 (0)30/901820", "+441632960", "+49 30 123 4567 89", "+1 858 555 2896", "+33\u00a01\u202f23 45 67 89"]
+    dates = ["3/7/1987", "03/07/1987", "07-03-1987", "31.1.2000", "1-31-2000", "25/2/2003"]
+    not_any = ["+1 234", "+1234567", "3/77/1987", "12-11-1999-5", "1.2.3", "a + 12 345 678 b"]
+    got = masked(spark, [f"at {x}, or" for x in phones + dates + not_any])
+    assert [k for _, k in got] == [["phone"]] * len(phones) + [["date"]] * len(dates) + [[]] * len(not_any)
+    for (new, _), x in zip(got, phones, strict=False):
+        assert re.sub(r"[0-9]", "9", new) == re.sub(r"[0-9]", "9", f"at {x}, or") and new != f"at {x}, or"
+    dated = [new for new, _ in got[len(phones) : len(phones) + len(dates)]]
+    assert dated[0] == dated[1] and all(new != f"at {x}, or" for new, x in zip(dated, dates, strict=True))
+
+
 def test_permutations_are_bijections(spark):
     days = [f"{y}-{m:02d}-{d:02d}" for y in range(1900, 2100) for m in range(1, 13) for d in range(1, 32) if d <= (28 + (y % 4 == 0 and (y % 100 != 0 or y % 400 == 0)) if m == 2 else 30 if m in (4, 6, 9, 11) else 31)]
     df = spark.createDataFrame([(x,) for x in days], "text string")

@@ -8,8 +8,10 @@ all documents and different values never meet:
 
 * card: all digits but the last, then the check digit is made anew; separators stay.
 * account (IBAN): letters within letters and digits within digits, then new check digits; country and spaces stay.
-* phone: all digits but the country code. * ssn: area, group and serial within their valid ranges.
-* ip: 32 bits. * date: day, month and year from 1900 to 2099, as YYYY-MM-DD or as two numbers and a year; days 29 to 31
+* phone: all digits but the country code (the first one to three digits in a row after +). Found are numbers of 8 to 15
+  digits after +, in groups of any size, and (NNN) NNN-NNNN or NNN-NNN-NNNN; other national forms without + are not. * ssn: area, group and serial within their valid ranges.
+* ip: 32 bits. * date: day, month and year from 1900 to 2099, as YYYY-MM-DD or as two numbers of one or two
+  digits and a year with / . or - between (days up to 28 come out with two digits each); days 29 to 31
   keep day and month and turn the year, 29 February turns among leap years.
 * email: the local part's ASCII letters and digits; the domain stays. * secret: hexadecimal runs of 32 to 64 after = or :.
 
@@ -33,9 +35,10 @@ PATTERN = "|".join((
     r"(?<=[=:][^0-9A-Za-z\n]{0,8})[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
     r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     r"(?<![0-9])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9])",
-    r"(?<![0-9/.])[0-9]{2}([/.])[0-9]{2}\1(?:19|20)[0-9]{2}(?![0-9])",
+    r"(?<![0-9/.])(?:[0-9]{1,2}([/.])[0-9]{1,2}\1|(?<![0-9]-)[0-9]{1,2}-[0-9]{1,2}-(?=[0-9]{4}(?!-[0-9])))(?:19|20)[0-9]{2}(?![0-9])",
     r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])",
+    r"(?<![0-9A-Za-z+])\+1[ .\-]?\(?[0-9]{2,4}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])",
+    r"(?<![0-9A-Za-z+])\+[0-9](?:[ .\-/()  ]{0,3}[0-9]){7,14}(?![0-9])",
     r"(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
     r"(?<![0-9\-.])[0-9]{3}([\-.])[0-9]{3}\2[0-9]{4}(?![0-9\-])",
     r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
@@ -155,14 +158,14 @@ def pseudonym_sql(key: str = KEY, rounds: int = ROUNDS) -> str:
     iso_late = f"concat(cast({_late_year(sql, 'y', 'a', 'b')} as string), substr(m, 5))"
     iso = _let("y", y, _let("a", a, _let("b", b, done("date", f"a between 1 and 12 and b between 1 and {_last_day('a', 'y')}", f"if(b <= 28, {iso_early}, {iso_late})"))))
 
-    y, a, b = (f"cast(substr(m, {k}, {n}) as int)" for k, n in ((7, 4), (1, 2), (4, 2)))
-    sep = "substr(m, 3, 1)"
+    y, a, b = (f"cast(split(m, '[-/.]')[{k}] as int)" for k in (2, 0, 1))
+    sep = "substr(m, length(m) - 4, 1)"
     month, day = "least(a, b)", "greatest(a, b)"
     either = sql.feistel("day", "(a - 1) * 12 + b - 1", "y - 1900", "144", "200", f"concat({_two('p.l div 12 + 1')}, {sep}, {_two('p.l % 12 + 1')}, {sep}, cast(1900 + p.r as string))")
     one = lambda first, second: f"concat({_two(first)}, {sep}, {_two(second)}, {sep}, cast(1900 + p.r as string))"
     new_month, new_day = "p.l div 16 + 1", "p.l % 16 + 13"
     known = sql.feistel("day", f"({month} - 1) * 16 + {day} - 13", "y - 1900", "192", "200", f"if(a > b, {one(new_day, new_month)}, {one(new_month, new_day)})")
-    late = f"concat(substr(m, 1, 6), cast({_late_year(sql, 'y', month, day)} as string))"
+    late = f"concat(substr(m, 1, length(m) - 4), cast({_late_year(sql, 'y', month, day)} as string))"
     slash = _let("y", y, _let("a", a, _let("b", b, done("date", f"{month} between 1 and 12 and {day} <= {_last_day(month, 'y')}", f"case when {day} <= 12 then {either} when {day} <= 28 then {known} else {late} end"))))
 
     octets = "transform(split(m, '[.]'), t -> cast(t as int))"
@@ -182,7 +185,7 @@ def pseudonym_sql(key: str = KEY, rounds: int = ROUNDS) -> str:
 
     return (
         f"case when instr(m, '@') > 0 then {email} when m rlike '^[0-9A-Fa-f]{{32,64}}$' then {secret} when m rlike '^[A-Z]{{2}}[0-9]{{2}}' then {account} "
-        f"when m rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' then {iso} when m rlike '^[0-9]{{2}}[/.][0-9]{{2}}[/.][0-9]{{4}}$' then {slash} "
+        f"when m rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' then {iso} when m rlike '^[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{4}}$' then {slash} "
         f"when m rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' then {ip} when m rlike '^[+(]|^[0-9]{{3}}[-.][0-9]{{3}}[-.][0-9]{{4}}$' then {phone} "
         f"when m rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then {ssn} else {card} end"
     )

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import removed, written
+
 WORD = 32
 QUERY_BLOCK = 4096
 
@@ -284,3 +286,25 @@ def signature_classes(signed: DataFrame, key: str) -> DataFrame:
     buckets = signed.groupBy("band", "signature").agg(F.min(key).alias("first"), F.count("*").alias("n"))
     joined = signed.join(buckets, ["band", "signature"])
     return joined.groupBy(key).agg(F.min("first").alias("class_id"), F.sum(F.col("n") - 1).cast("bigint").alias("n_links"))
+
+
+def signature_components(signed: DataFrame, key: str) -> DataFrame:
+    """(key, class_id, n_links): class_id is the smallest id that shared band signatures reach over any number of rows.
+
+    n_links counts distinct partners. Classes come from rounds over the (row, bucket minimum) edges, each written to the
+    shared folder, until no label moves; partners are the pairs of a bucket, so they grow with its square.
+    """
+    spark = signed.sparkSession
+    signed, signed_path = written(signed, "signed")
+    label, path = written(signed.select(key, F.col(key).alias("class_id")).distinct(), "labels")
+    moved = 1
+    while moved:
+        buckets = signed.join(label, key).groupBy("band", "signature").agg(F.min("class_id").alias("least"))
+        least = signed.join(buckets, ["band", "signature"]).groupBy(key).agg(F.min("least").alias("least"))
+        new, new_path = written(least.join(label, key).select(key, F.col("least").alias("class_id"), (F.col("least") < F.col("class_id")).alias("moved")), "labels")
+        moved = new.where("moved").count()
+        removed(spark, path)
+        label, path = new.select(key, "class_id"), new_path
+    pairs = signed.join(signed.withColumnRenamed(key, "partner"), ["band", "signature"]).where(F.col(key) != F.col("partner"))
+    partners = pairs.select(key, "partner").distinct().groupBy(key).agg(F.count("*").alias("n_links"))
+    return label.join(partners, key, "left").select(key, "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

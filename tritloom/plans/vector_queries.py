@@ -446,6 +446,12 @@ def _(spark, sf_dir):
     return S.signature_classes(S.signatures(trits(spark, sf_dir), "vec_id"), "vec_id")
 
 
+@query("j6_signature_components")
+def _(spark, sf_dir):
+    """As j6_signature_classes, with whole components and distinct partners; tested against plain Python."""
+    return S.signature_components(S.signatures(trits(spark, sf_dir), "vec_id"), "vec_id")
+
+
 @query("a13_retrieval_quality", f"""WITH {T}, {NNZ}, {QS}, {DOTS}, lab AS (SELECT DISTINCT vec_id, label FROM embeddings), allp AS (SELECT q.vec_id AS query_id, v.vec_id, coalesce({_BY['cosine']}, 0) AS score FROM nnz q JOIN nnz v ON q.vec_id <> v.vec_id AND q.vec_id % 50 = 0 LEFT JOIN dots d ON d.query_id = q.vec_id AND d.vec_id = v.vec_id),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM allp) WHERE rank <= 10),
 rel AS (SELECT query_id, rank, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS rel FROM top JOIN lab a ON a.vec_id = query_id JOIN lab b ON b.vec_id = top.vec_id),

@@ -11,20 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the context's checkpoint folder, or one set here where neither is set."""
+    """spark.checkpoint.dir, or the context's checkpoint folder; one is set here only for a master in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        set_by_context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_by_context.get() if set_by_context.isDefined() else f"file://{tempfile.mkdtemp(prefix='tritloom-')}"
+        context = spark.sparkContext
+        set_by_context = context._jsc.sc().getCheckpointDir()
+        if set_by_context.isDefined():
+            found = set_by_context.get()
+        elif context.master == "local" or context.master.startswith("local["):
+            found = f"file://{tempfile.mkdtemp(prefix='tritloom-')}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Tables of :func:`written` that are not removed yet, in order.
+_made: list[str] = []
+
+
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tritloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -34,6 +45,35 @@ def removed(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        if path in _made:
+            _made.remove(path)
+
+
+class Scratch:
+    """Within it, tables made by :func:`written` are temporary: they go at the end, but for those that ``keep`` names.
+
+    What is returned lazily from inside must have been written, and kept, before the end.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> Scratch:
+        self.before = set(_made)
+        return self
+
+    def keep(self, path: str) -> None:
+        self.kept.add(path)
+
+    def __exit__(self, *_) -> None:
+        removed(self.spark, *[x for x in _made if x not in self.before and x not in self.kept])
+
+
+def spread(df: DataFrame, least: int = 8 << 20) -> DataFrame:
+    """A table of less than ``least`` bytes a core is dealt evenly over the cores, however few row groups it has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < least * cores else df
 
 
 _shipped: set[str] = set()

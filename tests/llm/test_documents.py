@@ -1,10 +1,13 @@
 """Pseudonyms, toxicity, page extraction, language, chat windows and near-duplicates."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -117,14 +120,14 @@ def test_block_max_search_equals_brute_force():
     R = random.Random(5)
     vectors = []
     for _ in range(700):
-        t = sorted(R.sample(range(30), R.randint(1, 6)))
+        t = np.array(sorted(R.sample(range(30), R.randint(1, 6))))
         w = np.array([R.choice([1.0, 1.7, 2.2]) for _ in t])
-        vectors.append((tuple(t), tuple((w / np.linalg.norm(w)).tolist())))
+        vectors.append((t, w / np.linalg.norm(w)))
     ids = R.sample(range(10_000), 700)
-    index = toxicity.BlockMaxIndex(vectors, ids, [0] * 700)
+    index = toxicity.BlockMaxIndex(vectors, ids, [0] * 700, 30)
     dense = np.zeros((700, 30))
     for i, (t, w) in enumerate(vectors):
-        dense[i, list(t)] = w
+        dense[i, t] = w
     for q in range(0, 700, 13):
         places, cosines = index.nearest(*vectors[q], k=9, without=int(index.place[q]))
         scores = np.round(dense @ dense[q], 12)
@@ -135,16 +138,68 @@ def test_block_max_search_equals_brute_force():
         assert set(index.ids[places].tolist()[: len(exact)]) == exact
 
 
+def brute_toxicity(docs, labels):
+    """Neighbours and votes of every text by dense vectors; docs: [(id, text)], labels: {id: 0 or 1}."""
+    examples = sorted({(i, labels[i], t) for i, t in docs if i in labels}, key=lambda x: x[:2])
+    counts = {t: toxicity.term_counts(t) for _, t in docs}
+    words = sorted(set().union(*(counts[t] for _, _, t in examples)))
+    df = {w: sum(w in counts[t] for _, t in docs) for w in words}
+    groups = {(min((zlib.crc32(w) for w in counts[t]), default=None), y): counts[t] for _, y, t in examples if counts[t]}
+    n = [sum(y == k for _, y in groups) for k in (0, 1)]
+    weight = {}
+    for w in words:
+        a, b = (sum(w in c for (_, y), c in groups.items() if y == k) for k in (1, 0))
+        p = min(1, (a + b) / sum(n))
+        z = (a / n[1] - b / n[0]) / (max(p * (1 - p), 1e-9) * (1 / n[0] + 1 / n[1])) ** 0.5
+        weight[w] = math.log((1 + len(docs)) / (1 + df[w])) * max(1.0, abs(z) / toxicity.Z) ** toxicity.POWER
+
+    def vector(t):
+        v = np.array([(1 + math.log(counts[t][w])) * weight[w] if w in counts[t] else 0.0 for w in words])
+        return v / (np.linalg.norm(v) or 1)
+
+    every = np.array([vector(t) for _, _, t in examples])
+    for i, t in docs:
+        near = sorted((-round(float(s), 9), e[0], e[1]) for s, e in zip(every @ vector(t), examples, strict=True) if s > 1e-12)[: toxicity.K]
+        yield i, near, sum(-s * y for s, _, y in near) / sum(-s for s, _, _ in near) if near else None
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """Neighbours, votes and scores of a small corpus, with ties, copies, repeated labels and odd texts."""
+    R = random.Random(3)
+    word = lambda: "w" + str(R.randrange(60))
+    docs = []
+    for i in range(120):
+        bad = i % 5 == 0
+        docs.append((i, " ".join([word() for _ in range(R.randint(1, 30))] + (["scum"] * R.randint(1, 2) if bad else []))))
+    docs += [(200 + k, docs[10][1]) for k in range(5)] + [(300, None), (301, ""), (302, "zzz"), (7, docs[8][1]), (303, "scum " * 20_000)]
+    labels = {i: int(i % 5 == 0) for i in range(0, 120, 2)} | {200: 1, 201: 1}
+    rows = [(i, y) for i, y in labels.items()] + [(10, 0), (10, 1), (None, 1), (5, None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("score", F.lit("clash")).withColumn("label", F.lit("clash"))
+    model = toxicity.fit(df, spark.createDataFrame(rows, "doc_id bigint, toxic int"))
+    got = sorted((r.doc_id, [(-round(c, 9), n) for c, n in zip(r.cosines, r.neighbours, strict=True)], round(r.score, 9)) for r in toxicity.score(df, model).collect())
+    want = sorted((i, [x[:2] for x in near], round(float(np.interp(vote, *model.knots)) if near else model.base, 9)) for i, near, vote in brute_toxicity(docs, labels))
+    for (i, near, score), (j, wanted, expected) in zip(got, want, strict=True):
+        assert i == j and abs(score - expected) < 1e-6 and np.allclose([s for s, _ in near], [s for s, _ in wanted], atol=1e-8)
+        last = wanted[-1][0] if wanted else 0
+        assert {n for s, n in near if s < last - 1e-7} == {n for s, n in wanted if s < last - 1e-7}
+
+
 def test_toxicity_held_out_and_edges(spark):
-    sf = "/root/testdata/sf0.01"
-    got = toxicity.op5(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
-    assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.9
+    sf = "/root/testdata/sf0.1"
+    found = toxicity.op5(spark, sf).cache()
+    got = found.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    right = sum(r.predicted and r.toxic for r in got)
+    assert right / sum(r.toxic for r in got) > 0.85 and right / sum(r.predicted for r in got) > 0.9
     assert all(0 <= r.score <= 1 for r in got)
+    assert found.where("size(neighbours) > 0").count() > 0.95 * found.count()
+    found.unpersist()
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "you scum"), (3, "you scum"), (None, "x" * 200_000)], "doc_id bigint, text string").withColumn("score", F.lit("clash"))
     none = docs.limit(0)
     labels = spark.createDataFrame([(1, 1), (None, 1), (2, None)], "doc_id bigint, toxic int")
     model = toxicity.fit(docs, labels)
     assert toxicity.score(docs, model).count() == 5 and toxicity.score(none, toxicity.fit(none, labels.limit(0))).count() == 0
+    many = spark.range(3000).select(F.lit(3).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    assert toxicity.examples_of(many, spark.createDataFrame([(3, 1)], "doc_id bigint, toxic int"), examples=100).count() < 200
 
 
 # ---- pages
@@ -313,19 +368,19 @@ def test_fingerprints_and_components(spark):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(odd).collect()) == [("5", "5"), ("5", "5"), ("None", "5"), ("None", "None")]
 
 
-@pytest.mark.parametrize("most", [simhash.MOST, 3])
-def test_links_join_exactly_the_near_ones(spark, most):
-    """Random and clustered marks; a small bound sends buckets through the second round."""
+@pytest.mark.parametrize("most,again,near", [(simhash.MOST, 2, 60), (3, 1, 60), (3, 2, 6)])
+def test_links_join_exactly_the_near_ones(spark, most, again, near):
+    """Random and clustered marks; a small bound sends buckets through further rounds."""
     R = random.Random(most)
     marks = {R.getrandbits(64) for _ in range(150)}
-    for seed in list(marks)[:5]:
-        for _ in range(60):
+    for seed in sorted(marks)[:5]:
+        for _ in range(near):
             m = seed
             for _ in range(R.randint(0, 5)):
                 m ^= 1 << R.randrange(64)
             marks.add(m)
     df = spark.createDataFrame([(m - (1 << 64) if m >> 63 else m,) for m in marks], "mark bigint")
-    edges = simhash.links(df, most=most)
+    edges = simhash.links(df, most=most, again=again)
     pairs = [(a & (1 << 64) - 1, b & (1 << 64) - 1) for a, b in edges.collect()]
     want = brute_components(marks)
     parent = {m: m for m in marks}
@@ -340,5 +395,26 @@ def test_links_join_exactly_the_near_ones(spark, most):
         parent[max(x, y)] = min(x, y)
     groups = lambda f: sorted(sorted(m for m in marks if f(m) == r) for r in {f(m) for m in marks})
     assert groups(find) == groups(want.get)
-    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    got = {r.node: r.root for r in simhash.components(edges, broadcast=0 if most == 3 else simhash.BROADCAST).collect()}
     assert groups(lambda m: got.get(m - (1 << 64) if m >> 63 else m, m - (1 << 64) if m >> 63 else m)) == groups(want.get)
+
+
+def test_large_buckets_are_split_on_the_bits_left():
+    """A bucket of marks that agree in one segment only: no bucket of the next round holds over a few of them."""
+    R = random.Random(6)
+    marks = np.array(sorted({R.getrandbits(42) for _ in range(5000)}), dtype=np.int64)  # the top 22 bits are all zero
+    key, left = np.zeros(len(marks), np.int64), np.full(len(marks), (1 << 42) - 1, np.int64)
+    sizes = {}
+    for batch in simhash._keyed_again(4, False)(iter([pa.RecordBatch.from_arrays([pa.array(key), pa.array(left), pa.array(marks)], names=["key", "left", "mark"])])):
+        for k, rest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sizes[k] = sizes.get(k, 0) + 1
+            assert rest & ~((1 << 42) - 1) == 0 and bin(rest).count("1") == 28
+    assert max(sizes.values()) < 20 and sum(sizes.values()) == 42 * len(marks)
+
+
+def test_long_chains_become_one_component(spark):
+    n = 200
+    chain = spark.range(n).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    for bound in (simhash.BROADCAST, 0):
+        got = simhash.components(chain, broadcast=bound).collect()
+        assert sorted(r.node for r in got) == list(range(n + 1)) and {r.root for r in got} == {0}

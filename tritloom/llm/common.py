@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..shared import removed, shared_dir, ship, written
+from ..shared import Scratch, removed, shared_dir, ship, spread, written
 
-__all__ = ["arrow_schema", "map_rows", "pieces", "removed", "shared_dir", "ship", "table", "written"]
+__all__ = ["Scratch", "arrow_schema", "map_rows", "pieces", "removed", "shared_dir", "ship", "spread", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; only Spark opens the path."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def map_rows(df: DataFrame, columns: list[str], make: Callable[..., Callable], schema: str | T.StructType, *args) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tritloom.llm import bpe, langid, pii
+from tritloom.llm import bpe, langid, pii, simhash
 
 from .test_documents import brute_components, brute_mark
 from .test_search_and_text import brute_hits
@@ -46,3 +46,23 @@ def test_stages_on_odd_rows(spark, tmp_path):
         docs = spark.read.parquet(path)
     ids = [r.doc_id for r in docs.collect()]
     assert ids.count(9002) <= 1 and 9001 not in ids
+
+
+def test_near_dedup_keeps_every_text_that_has_no_near_copy(spark):
+    """Repeated and null ids with equal and different texts: one row of each component stays, and no component is lost."""
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    w, x, y, z = (" ".join(words[k::4] * 2) for k in range(4))
+    rows = [(3, w), (5, w), (5, y), (5, z), (None, x), (None, x), (None, z + " and more"), (7, ""), (8, None), (9, w)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("mark", F.lit("clash"))
+    marks = {t: brute_mark(t) for _, t in rows}
+    roots = brute_components(set(marks.values()))
+    want = {}
+    for i, t in rows:
+        root = roots[marks[t]]
+        want[root] = min(want.get(root, (True, 0)), (i is None, i or 0))
+    for bound in (simhash.BROADCAST, 0):
+        out = simhash.deduplicated(docs, broadcast=bound)
+        assert out.columns == docs.columns
+        got = {roots[marks[r.text]]: (r.doc_id is None, r.doc_id or 0) for r in out.collect()}
+        assert got == want and out.count() == len(want)
+    assert {(r.doc_id, r.text) for r in out.collect()} >= {(3, w), (5, y), (5, z), (None, x)}

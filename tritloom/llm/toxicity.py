@@ -1,22 +1,26 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes.
 
-Fitting. At most about ``EXAMPLES`` labelled texts, picked by a hash of the id, are the examples. Examples with the same
-smallest term hash are one group, so that copies don't count as many witnesses. The vocabulary is the (at most
-``TERMS``) terms that occur in at least ``LEAST`` groups, and a share of ``SHARE``, of label 1 and go with it by a z-score
-of ``Z`` or more over groups; the document frequencies of these terms are counted over all documents. An example is its
-vector of (1 + ln tf) * idf over the vocabulary, at length one.
-
-Search. Examples are numbered in the order of their weightiest terms, so that alike ones share blocks of ``BLOCK``.
-The index holds for each term its postings, and for each block of them the largest weight. For a text, the sums of
-query weight times block maximum bound every block's scores; blocks are worked out exactly, best bound first, until the
-next bound is below the k-th score. The ``K`` nearest are thus exact; ties go to the smaller document id.
-
-Score. The votes of the neighbours, weighted by cosine, are calibrated by a monotone fit to the examples' own
-leave-one-out votes. Texts without any vocabulary term have no neighbour and get the share of label 1 among such
-examples. Evidence is the neighbours' ids and cosines.
-
-Defined results: null and empty texts have no terms; rows with equal ids each get their row; without labels, or without
-terms that go with label 1, every score is the share of label 1, or 0.
+Fitting. At most about ``EXAMPLES`` labelled texts, drawn by hashes of the id and then of id and text, are the examples;
+that bound is on examples alone. Every term of an example is in the vocabulary, and the document frequencies of all of
+them are counted over all documents in one pass. An example is its vector of (1 + ln tf) * idf * relevance at length one.
+``relevance`` is 1 for most terms; for a term whose shares in the two labels differ by a z-score over ``Z`` it is
+``(|z| / Z) ** POWER``. Without it a text's many rare words drown the few that matter (see the README for figures). Shares
+are counted over groups of examples with the same smallest term hash, so copies aren't many witnesses. Terms that no
+example holds can't add to a cosine's dot product and have no weight.
+
+Search. Examples are numbered in the order of their weightiest terms, so that alike ones share blocks of ``BLOCK``. The
+index holds for each term its postings, and for each block of them the largest weight. For a text, the sums of query
+weight times block maximum bound every block's scores; blocks are worked out exactly, best bounds first and more at a
+time, until the next bound is below the k-th score. The ``K`` nearest are thus exact; ties go to the smaller document id.
+
+Score. The votes of the neighbours, weighted by cosine, are calibrated by a monotone fit to the examples' own votes, each
+worked out without the example itself and its near copies (cosines of ``COPY`` or more). Evidence is the neighbours'
+ids and cosines.
+
+Defined results: null and empty texts, and texts that share no term with an example, have no neighbour and get the share
+of label 1 among the examples; rows with equal ids each get their row; repeated rows of ``labels`` count once, with the
+larger label; identical examples count once; equal cosines go to the smaller id; without examples of both labels every
+score is the share of label 1, or 0. An empty table gives an empty result; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import map_rows, pieces, ship, spread, table, written
 from .langid import held_out
 
-EXAMPLES, TERMS, LEAST, SHARE, Z, K, BLOCK, CALIBRATE = 20_000, 400, 3, 0.02, 4.0, 15, 64, 2000
+EXAMPLES, Z, POWER, K, BLOCK, COPY = 3000, 3.0, 3, 15, 64, 0.95
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
@@ -40,94 +44,104 @@ def terms(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
+def term_counts(text: str | None) -> dict[bytes, int]:
+    found: dict[bytes, int] = {}
+    for t in terms(text):
+        found[t] = found.get(t, 0) + 1
+    return found
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], ..., first[0] + size[0] - 1, first[1], ... in one array."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class BlockMaxIndex:
-    """Postings of unit vectors by term, with block maxima."""
+    """Postings of unit vectors by term, with block maxima.
 
-    def __init__(self, vectors: list[tuple[tuple, tuple]], ids: list[int], labels: list[int]) -> None:
-        order = sorted(range(len(vectors)), key=lambda i: (sorted(zip((-w for w in vectors[i][1]), vectors[i][0], strict=True)), ids[i]))
+    ``vectors`` are (terms, weights) with terms as numbers below ``n_terms``, in ascending order.
+    """
+
+    def __init__(self, vectors: list[tuple], ids: list[int], labels: list[int], n_terms: int) -> None:
+        heavy = [tuple(t[np.lexsort((t, -w))[:8]].tolist()) for t, w in vectors]
+        order = sorted(range(len(vectors)), key=lambda i: (heavy[i], ids[i]))
         self.ids = np.array([ids[i] for i in order], dtype=np.int64)
         self.labels = np.array([labels[i] for i in order], dtype=np.float64)
         self.place = np.empty(len(order), dtype=np.int64)
         self.place[order] = np.arange(len(order))
         self.blocks = -(-len(order) // BLOCK)
-        found: dict[int, list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for t, w in zip(*vectors[i], strict=True):
-                found.setdefault(t, []).append((at, w))
-        self.postings: dict[int, tuple] = {}
-        for t, rows in found.items():
-            at = np.array([x[0] for x in rows])
-            weight = np.array([x[1] for x in rows])
-            block, first = np.unique(at // BLOCK, return_index=True)
-            most = np.maximum.reduceat(weight, first)
-            bounds = dict(zip(block.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True), strict=True))
-            self.postings[t] = (block, most, bounds, at % BLOCK, weight)
-
-    def nearest(self, at_terms: tuple, weights: tuple, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the k nearest with positive cosine, and the cosines; ``without`` is a place to leave out."""
-        bound = np.zeros(self.blocks)
-        mine = [(self.postings[t], w) for t, w in zip(at_terms, weights, strict=True) if t in self.postings]
-        for (block, most, *_), w in mine:
-            bound[block] += w * most
+        sizes = [len(vectors[i][0]) for i in order]
+        term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)]).astype(np.int64)
+        weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
+        at = np.repeat(np.arange(len(order)), sizes)
+        by_term = np.argsort(term, kind="stable")  # places stay in order within a term
+        term, self.at, self.weight = term[by_term], at[by_term], weight[by_term]
+        block = self.at // BLOCK
+        new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.first = np.r_[new, len(term)]  # of each (term, block): its first posting
+        self.block = block[new]
+        self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
+        self.of_term = np.searchsorted(term[new], np.arange(n_terms + 1))  # of each term: its first (term, block)
+
+    def nearest(self, at_terms: np.ndarray, weights: np.ndarray, k: int = K, without: int = -1, below: float = math.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the k nearest with positive cosine, and the cosines.
+
+        ``without`` is a place to leave out; so are cosines of ``below`` or more.
+        """
+        first = self.of_term[at_terms]
+        size = self.of_term[at_terms + 1] - first
+        entry, weight = _ranges(first, size), np.repeat(weights, size)
+        block = self.block[entry]
+        bound = np.bincount(block, weight * self.most[entry], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         cosines, places = np.zeros(0), np.zeros(0, np.int64)
-        scores = np.empty(BLOCK)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(places) >= k and bound[b] < cosines[-1] - 1e-12:
-                break
-            scores[:] = 0
-            for (_, _, bounds, at, weight), w in mine:
-                if span := bounds.get(b):
-                    scores[at[span[0] : span[1]]] += w * weight[span[0] : span[1]]
-            new = np.flatnonzero(scores > 0)
-            new_places = new + b * BLOCK
-            if without >= 0:
-                new, new_places = new[new_places != without], new_places[new_places != without]
-            cosines, places = np.concatenate((cosines, np.round(scores[new], 12))), np.concatenate((places, new_places))
+        at, step = 0, 4
+        while at < len(order):
+            chosen = order[at : at + step]
+            if len(places) >= k:
+                chosen = chosen[bound[chosen] >= cosines[-1] - 1e-9]
+                if not len(chosen):
+                    break
+            at, step = at + step, step * 2
+            marked = np.zeros(self.blocks, bool)
+            marked[chosen] = True
+            mine = np.flatnonzero(marked[block])
+            start = self.first[entry[mine]]
+            count = self.first[entry[mine] + 1] - start
+            posting = _ranges(start, count)
+            scores = np.round(np.bincount(self.at[posting], self.weight[posting] * np.repeat(weight[mine], count), len(self.ids)), 12)
+            new = np.flatnonzero((scores > 0) & (scores < below))
+            new = new[new != without]
+            cosines, places = np.concatenate((cosines, scores[new])), np.concatenate((places, new))
             top = np.lexsort((self.ids[places], -cosines))[:k]
             cosines, places = cosines[top], places[top]
         return places, cosines
 
 
 class Model:
-    def __init__(self, vocabulary: list[bytes], idf: list[float], index: BlockMaxIndex | None, base: float, knots: tuple[list, list]) -> None:
-        self.vocabulary, self.idf, self.index, self.base, self.knots = vocabulary, idf, index, base, knots
-
-
-class Scorer:
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.of = {t: i for i, t in enumerate(model.vocabulary)}
-        self.known: dict[tuple, tuple] = {}
-
-    def counts(self, text: str | None) -> tuple:
-        of, found = self.of, {}
-        for t in [x for x in terms(text) if x in of]:
-            found[of[t]] = found.get(of[t], 0) + 1
-        return tuple(sorted(found.items()))
-
-    def vector(self, counts: tuple) -> tuple[tuple, tuple]:
-        idf = self.model.idf
-        weights = [(1 + math.log(n)) * idf[t] for t, n in counts]
-        norm = math.sqrt(sum(w * w for w in weights)) or 1.0
-        return tuple(t for t, _ in counts), tuple(w / norm for w in weights)
+    def __init__(self, of: dict[bytes, int], weight: np.ndarray, index: BlockMaxIndex | None, base: float, knots: tuple[list, list]) -> None:
+        self.of, self.weight, self.index, self.base, self.knots = of, weight, index, base, knots
+
+    def vector(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.array([self.of.get(t, -1) for t in counts], dtype=np.int64)
+        often = np.array(list(counts.values()), dtype=np.float64)
+        order = np.argsort(at)[np.count_nonzero(at < 0) :]
+        at = at[order]
+        weights = (1 + np.log(often[order])) * self.weight[at]
+        return at, weights / (math.sqrt(float(weights @ weights)) or 1.0)
+
+    def vote(self, counts: dict[bytes, int], without: int = -1, below: float = math.inf) -> tuple[float | None, np.ndarray, np.ndarray]:
+        """Share of label 1 among the neighbours by cosine (none: None), their places and cosines."""
+        places, cosines = self.index.nearest(*self.vector(counts), without=without, below=below) if self.index and counts else (np.zeros(0, int),) * 2
+        return (float(cosines @ self.index.labels[places] / cosines.sum()) if len(places) else None), places, cosines
 
     def __call__(self, text: str | None) -> tuple[float, list, list]:
-        counts, model = self.counts(text), self.model
-        if not counts or model.index is None:
-            return model.base, [], []
-        found = self.known.get(counts)
-        if found is None:
-            places, cosines = model.index.nearest(*self.vector(counts))
-            if len(places):
-                vote = float(cosines @ model.index.labels[places] / cosines.sum())
-                score = float(np.interp(vote, *model.knots))
-                found = (min(1.0, max(0.0, score)), model.index.ids[places].tolist(), cosines.tolist())
-            else:
-                found = (model.base, [], [])
-            if len(self.known) >= 50_000:
-                self.known.clear()
-            self.known[counts] = found
-        return found
+        vote, places, cosines = self.vote(term_counts(text))
+        if vote is None:
+            return self.base, [], []
+        return min(1.0, max(0.0, float(np.interp(vote, *self.knots)))), self.index.ids[places].tolist(), cosines.tolist()
 
 
 def monotone(x: np.ndarray, y: np.ndarray) -> tuple[list, list]:
@@ -145,95 +159,101 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[list, list]:
     return [p[0] / p[2] for p in pools], [(p[1] + 1) / (p[2] + 2) for p in pools]
 
 
-def _term_step():
-    def step(batch: pa.RecordBatch) -> dict:
-        found = [sorted(set(terms(x))) for x in batch.column(0).to_pylist()]
-        return {"label": batch.column(1), "twins": [min(map(zlib.crc32, x), default=0) for x in found], "terms": found}
-
-    return step
-
+def relevance(examples: list[dict[bytes, int]], labels: list[int], of: dict[bytes, int]) -> np.ndarray:
+    """Of each term: (|z| / Z) ** POWER, 1 at least, from its shares in groups of either label."""
+    groups = {(min(map(zlib.crc32, x)), label): x for x, label in zip(examples, labels, strict=True) if x}
+    size = [max(1, sum(label == k for _, label in groups)) for k in (0, 1)]
+    found = np.zeros((2, len(of)))
+    for (_, label), x in groups.items():
+        found[label, [of[t] for t in x]] += 1
+    p = np.minimum(found.sum(axis=0) / sum(size), 1.0)
+    z = (found[1] / size[1] - found[0] / size[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / size[0] + 1 / size[1]))
+    return np.maximum(1.0, np.abs(z) / Z) ** POWER
 
-def _df_step(vocabulary: list[bytes]):
-    scorer = Scorer(Model(vocabulary, [], None, 0.0, ([], [])))
-    n = len(vocabulary)
 
+def _example_step():
     def step(batch: pa.RecordBatch) -> dict:
-        found = np.zeros(n, dtype=np.int64)
-        for text in batch.column(0).to_pylist():
-            for t, _ in scorer.counts(text):
-                found[t] += 1
-        return {"n": [batch.num_rows], "df": [found.tolist()]}
+        found = [term_counts(x) for x in batch.column(2).to_pylist()]
+        return {"doc_id": batch.column(0), "label": batch.column(1), "terms": [b" ".join(x) for x in found], "n": [np.array(list(x.values()), "<i4").tobytes() for x in found]}
 
     return step
 
 
-def _example_step(vocabulary: list[bytes]):
-    scorer = Scorer(Model(vocabulary, [], None, 0.0, ([], [])))
+def _frequencies(shared):
+    """One task's document frequencies by number of the term, and its rows under -1."""
+    schema = pa.schema([("t", pa.int32()), ("n", pa.int64())])
 
-    def step(batch: pa.RecordBatch) -> dict:
-        found = [scorer.counts(x) for x in batch.column(0).to_pylist()]
-        return {"doc_id": batch.column(2), "label": batch.column(1), "t": [[t for t, _ in x] for x in found], "n": [[n for _, n in x] for x in found]}
+    def run(batches):
+        of, rows = shared.value, 0
+        found = np.zeros(len(of), dtype=np.int64)
+        for batch in batches:
+            for piece in pieces(batch):
+                rows += piece.num_rows
+                for text in piece.column(0).to_pylist():
+                    found[[of[t] for t in set(terms(text)) if t in of]] += 1
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[rows, found[at]])], schema=schema)
 
-    return step
+    return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, where=None, examples: int = EXAMPLES) -> Model:
-    """docs: doc_id, text; labels: doc_id, toxic. ``where`` admits rows of labels to learn from."""
-    spark = docs.sparkSession
-    labels = labels.where("doc_id is not null and toxic is not null" if where is None else where).where("doc_id is not null and toxic is not null")
-    labels = labels.select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("label"))
+def examples_of(docs: DataFrame, labels: DataFrame, *, where=None, examples: int = EXAMPLES) -> DataFrame:
+    """About ``examples`` rows (doc_id, label, text) at most, as a table in the shared folder."""
+    fine = "doc_id is not null and toxic is not null"
+    labels = labels.where(fine) if where is None else labels.where(where).where(fine)
+    labels = labels.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("label"))
+    draw = lambda n, *by: F.pmod(F.xxhash64(F.lit("example"), *by), F.lit(1_000_000)) < int(1_000_000 * examples / n)
     n = labels.count()
     if n > examples:
-        labels = labels.where(F.pmod(F.xxhash64(F.lit("example"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * examples / n))
-    picked = F.broadcast(labels.withColumnRenamed("doc_id", "__id"))  # about ``examples`` rows
-    sample = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("__id")).select("text", "label", "doc_id")
-
-    by_term = map_rows(sample, ["text", "label"], _term_step, "label int, twins bigint, terms array<binary>")
-    size = {r["label"]: r["n"] for r in by_term.groupBy("label").agg(F.countDistinct("twins").alias("n")).collect()}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
-    base = n1 / (n1 + n0) if n1 + n0 else 0.0
-    if not n1 or not n0:
-        return Model([], [], None, base, ([], []))
-    counted = by_term.select("label", "twins", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
-    p = F.least(F.col("n") / (n1 + n0), F.lit(1.0))
-    z = (F.col("a") / n1 - (F.col("n") - F.col("a")) / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / n0))
-    often = (F.col("a") >= max(LEAST, SHARE * n1)) & (F.col("a") * n0 > 4 * (F.col("n") - F.col("a")) * n1)
-    strong = counted.where(often).withColumn("z", z).where(F.col("z") >= Z)
-    vocabulary = sorted(bytes(r["term"]) for r in strong.orderBy(F.desc("z"), "term").limit(TERMS).collect())
-    if not vocabulary:
-        return Model([], [], None, base, ([], []))
-
-    parts = map_rows(docs.select("text"), ["text"], _df_step, "n bigint, df array<bigint>", vocabulary)
-    df = [0] * len(vocabulary)
-    total = parts.agg(F.sum("n").alias("n")).first()["n"]
-    for r in parts.select(F.posexplode("df").alias("t", "df")).groupBy("t").agg(F.sum("df").alias("df")).collect():
-        df[r["t"]] = r["df"]
-    idf = [math.log((1 + total) / (1 + x)) + 1 for x in df]
-
-    rows = map_rows(sample, ["text", "label", "doc_id"], _example_step, "doc_id bigint, label int, t array<int>, n array<int>", vocabulary).collect()
-    scorer = Scorer(Model(vocabulary, idf, None, base, ([], [])))
-    plain = [r["label"] for r in rows if not r["t"]]
-    some = sorted((r for r in rows if r["t"]), key=lambda r: (r["doc_id"], r["label"], r["t"], r["n"]))
-    base = (sum(plain) + 0.0) / len(plain) if plain else 0.0
-    if not some:
-        return Model(vocabulary, idf, None, base, ([], []))
-    vectors = [scorer.vector(tuple(zip(r["t"], r["n"], strict=True))) for r in some]
-    index = BlockMaxIndex(vectors, [r["doc_id"] for r in some], [r["label"] for r in some])
-    xs, ys = [], []
-    for i in range(0, len(some), -(-len(some) // CALIBRATE)):
-        places, cosines = index.nearest(*vectors[i], without=int(index.place[i]))
-        if len(places):
-            xs.append(float(cosines @ index.labels[places] / cosines.sum()))
-            ys.append(some[i]["label"])
-    knots = monotone(np.array(xs), np.array(ys)) if xs else ([0.0, 1.0], [0.0, 1.0])
-    return Model(vocabulary, idf, index, base, knots)
+        labels = labels.where(draw(n, "doc_id"))
+    picked = F.broadcast(labels.withColumnRenamed("doc_id", "__id"))  # about ``examples`` rows of two numbers
+    found = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("__id"))
+    found = found.groupBy("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("m")).agg(F.max("label").alias("label"), F.first("text").alias("text"))
+    sample = spread(written(found, "examples")[0])
+    n = sample.count()
+    return (sample.where(draw(n, "doc_id", "m")) if n > 2 * examples else sample).select("doc_id", "label", "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, where=None, examples: int = EXAMPLES) -> Model:
+    """docs: doc_id, text; labels: doc_id, toxic. ``where`` admits rows of labels to learn from."""
+    sample = examples_of(docs, labels, where=where, examples=examples).select(F.col("doc_id").cast("bigint").alias("doc_id"), "label", "text")
+    rows = map_rows(sample, ["doc_id", "label", "text"], _example_step, "doc_id bigint, label int, terms binary, n binary").collect()
+    rows = sorted(((r["doc_id"], r["label"], dict(zip(bytes(r["terms"]).split(), np.frombuffer(r["n"], "<i4").tolist(), strict=True))) for r in rows), key=lambda r: (r[0], r[1], sorted(r[2].items())))
+    ids, marks, counts = ([r[k] for r in rows] for k in range(3))
+    base = sum(marks) / len(marks) if marks else 0.0
+    of = {t: k for k, t in enumerate(sorted(set().union(*counts)))}
+    if not of or not 0 < base < 1:
+        return Model({}, np.zeros(0), None, base, ([0.0, 1.0], [0.0, 1.0]))
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(of)  # the terms of the examples
+    found = docs.select("text").mapInArrow(_frequencies(shared), "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(len(of) + 1)
+    df[[r["t"] for r in found]] = [r["n"] for r in found]  # the rows come last, under -1
+    idf = np.log((1 + df[-1]) / (1 + df[:-1]))
+    model = Model(of, idf * relevance(counts, marks, of), None, base, ([0.0, 1.0], [0.0, 1.0]))
+    model.index = BlockMaxIndex([model.vector(x) for x in counts], ids, marks, len(of))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    votes = map_rows(sample.select("label", "text"), ["label", "text"], _vote_step, "label int, vote double", shared).where("vote is not null").collect()
+    if votes:
+        votes = sorted((r["vote"], r["label"]) for r in votes)
+        model.knots = monotone(np.array([v for v, _ in votes]), np.array([y for _, y in votes]))
+    return model
+
+
+def _vote_step(shared):
+    model = shared.value
+
+    def step(batch: pa.RecordBatch) -> dict:
+        return {"label": batch.column(0), "vote": [model.vote(term_counts(x), below=COPY)[0] for x in batch.column(1).to_pylist()]}
+
+    return step
 
 
 def _score_step(shared):
-    scorer = Scorer(shared.value)
+    model = shared.value
 
     def step(batch: pa.RecordBatch) -> dict:
-        found = [scorer(x) for x in batch.column(1).to_pylist()]
+        found = [model(x) for x in batch.column(1).to_pylist()]
         return {"doc_id": batch.column(0), "score": [x[0] for x in found], "neighbours": [x[1] for x in found], "cosines": [x[2] for x in found]}
 
     return step
@@ -241,7 +261,7 @@ def _score_step(shared):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, score, neighbours (ids of the nearest examples), cosines."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``EXAMPLES`` short vectors
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the vectors of at most about ``EXAMPLES`` texts
     return map_rows(docs.select("doc_id", "text"), ["doc_id", "text"], _score_step, "doc_id bigint, score double, neighbours array<bigint>, cosines array<double>", shared)
 
 

@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns rows; all but the last return the columns of documents:
 
 1. language_id: a model is trained on the labelled rows; texts that it rejects, or without a letter, go.
-2. near_dedup: of each SimHash component the row with the smallest id stays; rows with a null id can't be named in a
-   group and stay; of repeated rows of one id one stays.
+2. near_dedup: of each SimHash component one row stays, that with the smallest id, nulls last; of rows with equal ids
+   that with the smallest hash. Rows that share an id but are no near-duplicates are of different components and stay.
 3. decontaminate: rows go in which words of a benchmark passage occur.
 4. pii: personal data become pseudonyms; n_chars is counted anew.
 5. tokenise: every text is encoded and decoded; columns of that name in the input give way to n_tokens, ids_sha256 and
@@ -15,12 +15,12 @@ All stages return an empty table for an empty one, keep extra columns, and treat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tritloom.llm import bpe, decontam, langid, pii, simhash
-from tritloom.llm.common import map_rows, table, written
+from tritloom.llm.common import Scratch, map_rows, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    named = docs.join(kept.select("__id").distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
-    order = [F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])]
-    first = named.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where("__nth = 1").drop("__nth")
-    return first.unionByName(docs.where("doc_id is null"))
+    return simhash.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage returns, as a table in the shared folder; what the stages before it wrote is removed."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES:
+            docs, path = written(stage(spark, docs, sf_dir), name)
+        scratch.keep(path)
     return docs

@@ -69,11 +69,12 @@ class Scratch:
         removed(self.spark, *[x for x in _made if x not in self.before and x not in self.kept])
 
 
-def spread(df: DataFrame, least: int = 8 << 20) -> DataFrame:
-    """A table of less than ``least`` bytes a core is dealt evenly over the cores, however few row groups it has."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+def spread(df: DataFrame) -> DataFrame:
+    """A table that the scan cuts into fewer parts than there are cores is dealt evenly over the cores."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < least * cores else df
+    return df.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
 
 
 _shipped: set[str] = set()

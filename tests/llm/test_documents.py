@@ -238,10 +238,66 @@ def test_cuts_go_by_whole_attributes_and_words():
         assert htmlmain.main_text(f"<div {attributes}><p>Text of the page.</p></div><p>Rest.</p>") == ["Rest."], attributes
 
 
+def brute_spans(lengths):
+    """Surge and dive points by the sums of all windows, written out."""
+    window = [sum(lengths[k : k + htmlmain.SPAN]) for k in range(len(lengths))]
+    surge = min(htmlmain.SURGE, max(window, default=0))
+    dive = min(htmlmain.DIVE, surge)
+    fit = [k for k, x in enumerate(lengths) if window[k] >= surge and x >= htmlmain.DIVE] or [k for k, x in enumerate(lengths) if window[k] >= surge and x]
+    out, k = [], 0
+    while surge and k < len(lengths):
+        if k in fit:
+            end = next((j for j in range(k, len(lengths)) if window[j] < dive), len(lengths))
+            out.append((k, max(j for j in range(k, end) if lengths[j]) + 1))
+            k = end
+        else:
+            k += 1
+    return out
+
+
 def test_line_blocks_sums_and_points():
-    lines = [("menu", 4, 0), ("", 0, 0), ("a" * 100, 0, 0), ("b", 0, 0), ("c" * 90, 0, 0), ("", 0, 0), ("", 0, 0), ("", 0, 0), ("tail", 0, 0)]
-    assert htmlmain.line_blocks(lines) == [2, 3, 4]
-    assert htmlmain.line_blocks([("tiny", 0, 0)]) == [0] and htmlmain.line_blocks([]) == []
+    assert htmlmain.line_blocks([4, 0, 100, 1, 90, 0, 0, 0, 4]) == [(2, 5)]
+    assert htmlmain.line_blocks([4]) == [(0, 1)] and htmlmain.line_blocks([]) == htmlmain.line_blocks([0, 0]) == []
+    R = random.Random(9)
+    for _ in range(500):
+        lengths = [R.choice([0, 0, 3, 12, 24, 25, 40, 79, 80, 300]) for _ in range(R.randint(0, 30))]
+        assert htmlmain.line_blocks(lengths) == brute_spans(lengths)
+
+
+STORY = "Long text of a story that goes on and on for some lines. " * 4
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<body><h1>Title</h1><p>{0}</p><p>short</p><div class="legal">Copyright 2020</div><div>Call us now</div></body>', ["Title", "{0}", "short"]),
+        ("<body><div><p>{0}</p><p><a href=x>{0}</a></p><p>{0}</p></div></body>", ["{0}"] * 3),
+        ("<body><article><p>A teaser of another story with a line of text that is long enough for a surge of its own.</p></article><div><h1>T</h1><p>{0}</p><p>{0}</p><p>end</p></div></body>", ["T", "{0}", "{0}", "end"]),
+        ('<div id="page" class="has-sidebar"><p>{0}</p></div>', ["{0}"]),
+        ('<div class="sidebar-page"><p>{0}</p><p>a</p><p>b</p><p>c</p><p>d</p><p>{0}</p><div class=sidebar>x</div></div>', ["{0}", "a", "b", "c", "d", "{0}"]),
+        ('<body><div class="ad">{0}</div><article><p>Tiny.</p></article></body>', ["Tiny."]),
+        ('<div class="comments">{0}<p>a</p><p>b</p><p>c</p><p>d</p><p>e</p></div><div><p>Tiny.</p></div>', ["Tiny."]),
+        ("<body><div id=s><h1>T</h1><p>intro</p><div class=body><p>{0}</p><p>{0}</p></div><p>end.</p></div><p>foot</p></body>", ["T", "intro", "{0}", "{0}", "end."]),
+        ('<article><p>Price</p><p class="share-price">12.3</p><p id="search-algorithms">{0}</p></article>', ["Price", "12.3", "{0}"]),
+        ("<body><div>{0}</div><div>{0}</div><div>tiny.</div></body>", ["{0}", "{0}", "tiny."]),
+        ("<div><p>{0}</p><ul><li>a</li><li>b</li></ul></div><table><tr><td>c</td></tr></table>", ["{0}", "a", "b"]),
+    ],
+)
+def test_pages_without_marked_article(page, want):
+    assert htmlmain.main_text(page.replace("{0}", STORY)) == [x.replace("{0}", STORY.strip()) for x in want]
+
+
+def test_given_pages_with_and_without_article_tags(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        article = re.search("<article>(.*?)</article>", r.html, re.S)[1]
+        want = [x.text for x in htmlmain.read_page(article).lines if x.text]
+        assert htmlmain.main_text(r.html) == want
+        assert htmlmain.main_text(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r.html)) == want
+
+
+def test_unclosed_and_deep_elements_take_linear_time():
+    for odd in ("<p>x" + "<iframe src=a>" * 100_000, "<div>" * 50_000 + STORY, "<ul><li>" * 30_000 + STORY):
+        htmlmain.main_text(odd)
 
 
 def test_page_query_edges(spark):

@@ -24,9 +24,11 @@ def test_pipeline_against_brute_force(spark):
         first.setdefault(roots[marks[i]], i)
     left = set(first.values())
     left = {i for i in left if not brute_hits(rows[i].text, items)[4]}
+    spark.conf.set(pii.SETTING, "a key")
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(got) == left and len(left) > 100
     new = {r.doc_id: r.text for r in pii.pseudonymise(docs).collect()}
+    spark.conf.unset(pii.SETTING)
     coder = bpe.coder(*bpe.vocabulary())
     for i, r in got.items():
         assert r.text == new[i] and r.n_tokens == len(coder.encode(new[i])) // 4 and r.lang == rows[i].lang and r.n_chars == len(new[i])

@@ -7,18 +7,25 @@ holds lets the scan jump over ``length - 1`` words, so most positions of a clean
 the shift is zero, the block is the suffix of some patterns; the suffix bucket, split again by the patterns'
 first block, names them and a direct comparison of all words confirms.
 
-The benchmark is a stated set: its text is summed first, cut into blocks of at most ``block_bytes`` and each
+Benchmark words are numbered, blocks are pairs of numbers, and a pattern is a place in the numbered benchmark, so the
+tables take about 50 bytes for each byte of benchmark text. The benchmark is a stated set: repeated items are merged,
+its text is summed, cut into blocks of at most ``block_bytes`` (so tables of about 200 MB in each worker) and each
 block is broadcast in a pass of its own over the documents. A pass adds to the row it reads, so there is no
-shuffle at any size.
+shuffle at any size; passes of one query run side by side in a task, each with its own tables, so benchmarks of
+many blocks are better searched by one call for each part of them.
 
 Defined results: a null or empty text has no words and no hit; an item whose text is null, or without words, is
 never found; rows of the benchmark without an id still mark words but have no name in ``items``; repeated ids
-count once; repeated documents each get their row.
+count once; repeated documents each get their row; an empty benchmark marks nothing and empty documents give an empty
+result; other columns are not looked at by :func:`find_items` and kept by :func:`clean`.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_right
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +35,7 @@ from .common import map_rows, pieces, ship, table
 
 WINDOW = 10
 BLOCK = 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 SCHEMA = "doc_id bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
 
 #: Bytes to bytes: A-Z become a-z, 0-9 and a-z and all above 0x7F stay, the rest become a space.
@@ -40,33 +47,56 @@ def words(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Patterns of one length: shift table, and buckets by the suffix block and then the prefix block."""
+    """Patterns of one length: shift table, and buckets of the patterns' places by the suffix block."""
 
     def __init__(self, length: int) -> None:
         self.length, self.size = length, min(BLOCK, length)
-        self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[tuple, dict[tuple, set]]] = {}
-
-    def add(self, pattern: tuple, item: str | None) -> None:
-        size = self.size
-        for end in range(size, self.length + 1):
-            block = pattern[end - size : end]
-            self.shift[block] = min(self.shift.get(block, self.length), self.length - end)
-        same_ends = self.buckets.setdefault(pattern[-size:], {}).setdefault(pattern[:size], {})
-        same_ends.setdefault(pattern, set()).add(item)
+        self.numbers: dict[bytes, int] = {}
+        self.stream = array("i")  # the numbered words of all items, one item after another
+        self.items: list[str | None] = []
+        self.firsts: list[int] = []  # where each item begins
+        self.shift: dict[int, int] = {}
+        self.buckets: dict[int, array] = {}
+
+    def add(self, found: list[bytes], item: str | None) -> None:
+        """All windows of an item's words."""
+        length, size, shift, buckets, numbers = self.length, self.size, self.shift, self.buckets, self.numbers
+        first = len(self.stream)
+        self.items.append(item)
+        self.firsts.append(first)
+        at = [numbers.setdefault(w, len(numbers)) for w in found]
+        self.stream.extend(at)
+        blocks = [a << 32 | b for a, b in pairwise(at)] if size == 2 else at
+        for k, block in enumerate(blocks):  # the block ends at word k + size; a window of words ends at length or later
+            least = max(0, length - size - k)
+            if shift.get(block, length) > least:
+                shift[block] = least
+            if not least:
+                if block not in buckets:
+                    buckets[block] = array("i")
+                buckets[block].append(first + k + size - length)
 
     def scan(self, text: list[bytes]):
         """Yields (start, items) of every occurrence."""
-        length, size, shift, buckets = self.length, self.size, self.shift, self.buckets
-        most, end, n = length - size + 1, length, len(text)
+        length, size, shift, buckets, stream = self.length, self.size, self.shift, self.buckets, self.stream
+        number = self.numbers.get
+        at = array("i", [number(w, -1) for w in text])
+        most, end, n = length - size + 1, length, len(at)
+        two = size == 2
         while end <= n:
-            block = tuple(text[end - size : end])
+            b = at[end - 1]
+            if b < 0:  # no pattern holds this word
+                end += length
+                continue
+            a = at[end - 2] if two else 0
+            block = (a << 32 | b if two else b) if a >= 0 else -1
             jump = shift.get(block, most)
             if not jump:
                 start = end - length
-                if same_ends := buckets[block].get(tuple(text[start : start + size])):
-                    if items := same_ends.get(tuple(text[start:end])):
-                        yield start, items
+                first, window = at[start], at[start:end]
+                items = {self.items[bisect_right(self.firsts, p) - 1] for p in buckets[block] if stream[p] == first and stream[p : p + length] == window}
+                if items:
+                    yield start, items
                 jump = 1
             end += jump
 
@@ -77,9 +107,7 @@ def matchers(items: list[tuple], window: int = WINDOW) -> list[WuManber]:
         found = words(text)
         length = min(window, len(found))
         if length:
-            matcher = by_length.setdefault(length, WuManber(length))
-            for k in range(len(found) - length + 1):
-                matcher.add(tuple(found[k : k + length]), None if item is None else str(item))
+            by_length.setdefault(length, WuManber(length)).add(found, None if item is None else str(item))
     return list(by_length.values())
 
 
@@ -129,7 +157,7 @@ def _step(shared, window: int, key: str, carry: bool):
 
 def _blocks(items: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int):
     """Yields (broadcast rows, key, whether it is the last) for each block of the benchmark."""
-    items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("words"))
+    items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("words")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first()["n"]
     blocks = -(-2 * total // block_bytes) if total > block_bytes else 1
     for k in range(blocks):

@@ -4,7 +4,7 @@ A text is lower-cased; its features are, for every word (run of letters) between
 2 to 4 bytes and the word itself, hashed (rolling and multiplicative, and CRC-32) into ``BUCKETS`` rows of an embedding
 matrix. The mean of a text's
 feature rows goes through a linear layer and a softmax. Both matrices are trained by stochastic gradient descent in
-numpy on a bounded sample: at most ``PER_LANGUAGE`` labelled texts of each language, picked by a hash of the id; what
+numpy on a bounded sample: at most ``PER_LANGUAGE`` labelled texts of each language, picked by a hash of id and text; what
 comes to the driver for each is its bucket counts, of at most ``BUCKETS`` entries. A fifth of the sample is kept out of
 training to fit a temperature for the scores and the rejection bound: the score that all but ``REJECTED`` of its
 rightly classified texts reach, at most ``MOST_BOUND``.
@@ -14,6 +14,8 @@ scored whole.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and rejected; labels that are null or
 texts without letters teach nothing; with no label at all, every text is ``und``. Ties go to the first label in order.
+Rows with equal or null ids are drawn by their texts, and copies of one row count once. An empty table gives an empty
+result; columns of the input that are not named are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, pieces, ship, table
@@ -173,16 +175,22 @@ def _counts_step():
     return step
 
 
-def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", doc_id: str = "doc_id", where=None, per_language: int = PER_LANGUAGE) -> Model:
-    """Trains on a sample of the rows of ``docs`` that ``where`` admits and whose label is not null."""
+def sample_of(docs: DataFrame, *, text: str = "text", label: str = "lang", doc_id: str = "doc_id", where=None, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """At most ``per_language`` rows (label, text, id) of each label: those of the smallest hashes of id and text."""
     rows = docs.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.col(doc_id).cast("string").alias("id"), (F.lit(True) if where is None else where).alias("ok"))
-    rows = rows.where("ok and label is not null").select("label", "text", "id", F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)).alias("draw"))
+    mark = F.xxhash64(F.lit("sample"), "id", "text")
+    rows = rows.where("ok and label is not null").select("label", "text", "id", mark.alias("mark"), F.pmod(mark, F.lit(1_000_000)).alias("draw"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # languages, not rows
-    if not sizes:
-        return train([])
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(1_000_000 * min(1.0, per_language / n)))])
-    picked = rows.where(F.col("draw") < share[F.col("label")]).select("label", "text", "id")
-    found = map_rows(picked, ["label", "text", "id"], _counts_step, "id string, label string, at binary, n binary").collect()
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(1_000_000 * min(1.0, 1.5 * per_language / n)))]) if sizes else F.create_map(F.lit(""), F.lit(0))
+    # About half as many again are drawn and the first of them stay; the window's limit works before its shuffle too.
+    near = rows.where(F.col("draw") < share[F.col("label")]).dropDuplicates(["label", "id", "mark"])
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("mark", "id"))
+    return near.withColumn("nth", nth).where(F.col("nth") <= per_language).select("label", "text", "id")
+
+
+def fit(docs: DataFrame, **options) -> Model:
+    """Trains on :func:`sample_of` the rows of ``docs`` that ``where`` admits and whose label is not null."""
+    found = map_rows(sample_of(docs, **options), ["label", "text", "id"], _counts_step, "id string, label string, at binary, n binary").collect()
     sample = sorted((r["id"] or "", r["label"], bytes(r["at"]), bytes(r["n"])) for r in found if r["at"])
     return train([(lab, np.frombuffer(at, "<i4"), np.frombuffer(n, "<i4")) for _, lab, at, n in sample])
 

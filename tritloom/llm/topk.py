@@ -8,12 +8,13 @@ score so far, or all rows have been met. The k-th score is carried from block to
 stop the walk, for an unseen row of that score may have a smaller id.
 
 Queries are a stated set. They are counted and cut into passes of at most about ``QUERIES`` rows, each broadcast in a
-pass of its own over all candidates; a pass gives k rows for each query and task, and a window keeps the k best.
+pass of its own over all candidates; a pass gives k rows for each query and task, and a window keeps the k best. Of
+several passes each is finished, and its rows written to the shared folder, before the next one's queries are gathered.
 
 Defined results: vectors that are null or hold null or non-finite components, or whose id is null, take no part; an
 empty vector scores zero with other empty vectors; vectors of different lengths do not meet. Scores are exact while
 they are below 2**53. Equal scores go to the smaller id. A query that occurs twice gets its result twice. Candidates
-with the query's own id are left out.
+with the query's own id are left out. Empty tables give an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, table, written
 
-BLOCK, QUERIES, K = 16384, 4096, 20
+BLOCK, QUERIES, K = 16384, 16384, 20
 SCHEMA = "q int, query_id bigint, vec_id bigint, score bigint"
 
 
@@ -140,10 +141,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, block: int = BL
         part = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(passes)) == p) if passes > 1 else queries
         rows = sorted((r["vec_id"], list(r["v"])) for r in part.collect())  # a pass of a stated set, of bounded size
         shared = spark.sparkContext.broadcast([(i, np.array(v, dtype=np.float64)) for i, v in rows])
-        one = vectors.mapInArrow(_search(shared, k, block), SCHEMA).withColumn("p", F.lit(p))
+        one = vectors.mapInArrow(_search(shared, k, block), SCHEMA)
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+        one = one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if passes > 1:
+            one, _ = written(one, "topk")
+            shared.destroy()
         found = one if found is None else found.unionByName(one)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("p", "q").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found
 
 
 def quantised(embeddings: DataFrame, *, scale: int = 64) -> DataFrame:

@@ -12,10 +12,12 @@ Before any of this, texts and windows without a *cover word* are passed over. Co
 1 - ``CONTAINED`` of every template's shingles hold one; a text without any can't reach the containment, so nothing
 is lost and most texts cost one pattern search.
 
-The template table is a stated set; it is counted, and broadcast up to ``BROADCAST_TEMPLATES`` rows.
+The template table is a stated set. Its bands and its shingles are joined one after the other, and each is broadcast if
+it is measured to hold at most ``BROADCAST_HASHES`` hashes, else joined by shuffle.
 
 Defined results: null texts, and texts or templates of under five words, match nothing; rows with equal ids count as one
-document; equal containments are one row, as there is one row for each document and license.
+document; equal containments are one row, as there is one row for each document and license; repeated rows of the
+template table count once; an empty table of either kind gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 SHINGLE, BANDS, CONTAINED = 5, 16, 0.8
-#: Template tables of at most so many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_TEMPLATES = 2000
+#: Tables of at most so many hashes (8 MB) are broadcast; larger ones are joined by shuffle.
+BROADCAST_HASHES = 1_000_000
 
 #: Public license notices, as they stand in sources and at the foot of texts.
 TEMPLATES = [
@@ -87,15 +89,19 @@ def scan(docs: DataFrame, known: DataFrame, cover: list[str], *, doc_id: str = "
 
     Returns doc_id, license_id, containment, n_windows (windows that hold it), first_word (where the first starts).
     """
-    known = known.select("license_id", F.expr(_WORDS.format("text")).alias("tw"))
+    known = known.select("license_id", "text").distinct().select("license_id", F.expr(_WORDS.format("text")).alias("tw"))
     known = known.select("license_id", F.expr(f"array_distinct({_SHINGLES.format('tw')})").alias("tsh"), F.expr(f"greatest(0, size(tw) - {SHINGLE - 1})").alias("m")).where("m > 0")
     known = known.withColumn("tsig", F.expr(_SIGNATURE.format("tsh")))
+    known = known.withColumn("tid", F.xxhash64("license_id", "tsh"))
     lengths = {r["m"]: r["n"] for r in known.groupBy("m").agg(F.count("*").alias("n")).collect()}  # a few lengths
     if not lengths:
         return docs.select(F.col(doc_id).alias("doc_id"), F.lit("").alias("license_id"), F.lit(0.0).alias("containment"), F.lit(0).cast("bigint").alias("n_windows"), F.lit(0).cast("bigint").alias("first_word")).where("false")
-    by_band = known.select("license_id", "tsh", "tsig", F.col("m").alias("tm"), F.posexplode("tsig").alias("tband", "tv"))
-    if sum(lengths.values()) <= BROADCAST_TEMPLATES:
+    by_band = known.select("tid", "tsig", F.col("m").alias("tm"), F.posexplode("tsig").alias("tband", "tv"))
+    by_id = known.select(F.col("tid").alias("kid"), "license_id", "tsh")
+    if (BANDS + 4) * BANDS * sum(lengths.values()) <= BROADCAST_HASHES:
         by_band = F.broadcast(by_band)
+    if sum(m * n for m, n in lengths.items()) <= BROADCAST_HASHES:
+        by_id = F.broadcast(by_id)
 
     # Outer generators: others get a filter that works their arrays out a second time.
     names = ", ".join(f"'{w}'" for w in cover)
@@ -112,7 +118,7 @@ def scan(docs: DataFrame, known: DataFrame, cover: list[str], *, doc_id: str = "
     banded = windows.select("*", F.expr(_SIGNATURE.format("win")).alias("sig")).select("*", F.posexplode_outer("sig").alias("band", "v"))
     met = banded.join(by_band, (F.col("m") == F.col("tm")) & (F.col("band") == F.col("tband")) & (F.col("v") == F.col("tv")))
     met = met.where(f"filter(sequence(0, {BANDS - 1}), k -> sig[k] = tsig[k])[0] = band")  # each pair once
-    held = met.select("doc_id", "license_id", "at", (F.size(F.array_intersect("tsh", "win")) / F.size("tsh")).alias("share"))
+    held = met.select("doc_id", "tid", "at", "win").join(by_id, F.col("tid") == F.col("kid")).select("doc_id", "license_id", "at", (F.size(F.array_intersect("tsh", "win")) / F.size("tsh")).alias("share"))
     return (
         held.where(F.col("share") >= CONTAINED)
         .groupBy("doc_id", "license_id")

@@ -14,7 +14,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from tritloom.llm import chatfmt, htmlmain, langid, pii, simhash, toxicity
+from tritloom.llm import bpe, chatfmt, htmlmain, langid, pii, simhash, toxicity
 
 from ..oracle import SF
 
@@ -455,6 +455,8 @@ def test_language_held_out_and_edges(spark):
     none = langid.fit(odd.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
     assert langid.predict(odd.limit(0), model).count() == 0
+    same = spark.range(2000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("word a"), F.when(F.col("id") < 1000, F.col("id"))).alias("text"), F.lit("en").alias("lang"))
+    assert 20 < langid.sample_of(same, per_language=50).count() <= 50
 
 
 # ---- chat
@@ -462,15 +464,15 @@ def test_language_held_out_and_edges(spark):
 
 @pytest.mark.parametrize("budget,history", [(20, 0), (60, 2), (200, 4)])
 def test_chat_windows_round_trip(budget, history):
-    R = random.Random(budget)
+    R, encode = random.Random(budget), bpe.coder(*bpe.vocabulary()).encode
     for _ in range(300):
         turns = [(R.choice(["user", "assistant", "system", "a:b", "\\", "x\\c:", "", "</turn>"]), "".join(R.choice(["a", "###", " </turn>\n", "</turn>", "\\", "\n", ": ", "#", " ", "é"]) for _ in range(R.randint(0, 60)))) for _ in range(R.randint(1, 40))]
-        conv = chatfmt._Conversation(budget, history)
+        conv = chatfmt._Conversation(budget, history, encode)
         windows = [w for r, t in turns for w in conv.add(r, t)] + list(conv.windows(True))
         back, loss = [], ""
         for _, repeated, new, tokens, text, spans in windows:
             found = chatfmt.parse(text)
-            assert len(found) == repeated + new and (tokens <= budget or new == 1)
+            assert len(found) == repeated + new and (tokens <= budget or new == 1) and tokens >= len(encode(text)) // 4 - len(found)
             back += [(a, b) for a, b, _, _ in found[repeated:]]
             loss += "".join(chatfmt.unescape(text[s["start"] : s["end"]]) for s in spans)
             if turns[0][0] == "system" and windows[0][4] != text:

@@ -4,16 +4,18 @@ A conversation's turns are rendered one after another as ``### role: text </turn
 backslash is doubled and the control strings ``###`` and ``</turn>`` get one before them; inside roles colons are
 escaped too. Both are undone exactly on reading, so no text can end a turn.
 
-Windows are spans of whole turns. Turn tokens are summed from the start of the buffered turns; a bisection in these
+Windows are spans of whole turns. Tokens are those of the byte-level BPE vocabulary, counted for each rendered turn. They are summed from the start of the buffered turns; a bisection in these
 prefix sums gives the longest span that fits the budget beside the system turn, which every window repeats, and up to
 ``history`` turns before the span, which later windows repeat as far as a quarter of the budget allows. Each turn is new
 in exactly one window. The loss mask covers the texts of assistant turns where they are new; repeated targets are
 masked out. A turn longer than the budget has a window of its own and stays whole.
 
 A conversation is read in order from a sorted partition and held only as far as a few budgets of turns; long
-conversations never come together in memory.
+conversations never come together in memory. A conversation's windows are one task's stream, since each span begins where
+the one before it ended (and the digests of :func:`read_back` are sequential as well).
 
-Defined results: a null text or role is empty; turns are ordered by turn, then role, then text, nulls first, so ties
+Defined results: a system turn of the budget or more is repeated all the same, so its windows exceed the budget and hold
+one new turn each; an empty table gives an empty result; other columns are not looked at; a null text or role is empty; turns are ordered by turn, then role, then text, nulls first, so ties
 and repeated rows stay in a fixed order; rows with a null conv_id form one conversation of their own.
 """
 
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import coder, vocabulary
 from .common import ship, table
 
 BUDGET, HISTORY = 1024, 2
@@ -64,16 +67,12 @@ def parse(window: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def turn_tokens(rendered: str) -> int:
-    """An estimate: one token for four bytes."""
-    return -(-len(rendered.encode("utf-8", "surrogatepass")) // 4)
-
-
 class _Conversation:
     """Turns come in; windows go out."""
 
-    def __init__(self, budget: int, history: int) -> None:
-        self.budget, self.history = budget, history
+    def __init__(self, budget: int, history: int, encode) -> None:
+        """``encode`` gives four bytes for each token of a text."""
+        self.budget, self.history, self.encode = budget, history, encode
         self.system: tuple | None = None
         self.before: list[tuple] = []
         self.turns: list[tuple] = []
@@ -83,7 +82,7 @@ class _Conversation:
     def add(self, role: str, text: str):
         head = TURN + escape_role(role) + COLON
         body = escape(text)
-        tokens = turn_tokens(head + body + END)
+        tokens = len(self.encode(head + body + END)) // 4
         turn = (head, body, tokens, role == "assistant", self.seen == 0 and role == "system")
         self.seen += 1
         self.turns.append(turn)
@@ -124,11 +123,12 @@ class _Conversation:
             self.before = [x for x in self.before + new if not x[4]][-self.history :] if self.history else []
 
 
-def _format(budget: int, history: int):
+def _format(budget: int, history: int, path: str, pattern: str):
     schema = pa.schema([("conv_id", pa.int64()), ("window_no", pa.int32()), ("n_repeated", pa.int32()), ("n_new", pa.int32()), ("n_tokens", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     def run(batches):
         key, conv, rows, size = None, None, [], 0
+        encode = coder(path, pattern).encode
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -139,7 +139,7 @@ def _format(budget: int, history: int):
                 if conv is None or conv_id != key:
                     if conv is not None:
                         out += [(key, *x) for x in conv.windows(True)]
-                    key, conv = conv_id, _Conversation(budget, history)
+                    key, conv = conv_id, _Conversation(budget, history, encode)
                 out += [(key, *x) for x in conv.add(role or "", text or "")]
                 rows += out
                 size += sum(len(x[5]) for x in out)
@@ -154,14 +154,14 @@ def _format(budget: int, history: int):
     return run
 
 
-def windows(conversations: DataFrame, *, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def windows(conversations: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, tokens: tuple[str, str] | None = None) -> DataFrame:
     """conversations: conv_id, turn, role, text. Windows of a conversation follow one another in one partition.
 
-    A row is a window: its text, how many turns it repeats and how many are new, and the spans of the loss mask.
+    ``tokens`` are path and pattern of a vocabulary. A row is a window: its text, how many turns it repeats and how many are new, and the spans of the loss mask.
     """
     ship(conversations.sparkSession)
     turns = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return turns.select("conv_id", "role", "text").mapInArrow(_format(budget, history), WINDOWS)
+    return turns.select("conv_id", "role", "text").mapInArrow(_format(budget, history, *(tokens or vocabulary())), WINDOWS)
 
 
 REPORT = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint"

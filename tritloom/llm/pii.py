@@ -53,7 +53,7 @@ ISSUERS = (
 PATTERN = "|".join((
     r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})+",
     r"(?<=[=:][^0-9A-Za-z\n]{0,8})[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
-    r"(?<=(?i:key|secret|token|password|passwd|pwd)[\"']{0,1} {0,3}[=:] {0,3}[\"']{0,1})(?=[A-Za-z_\-+/.]{0,127}[0-9])[0-9A-Za-z][0-9A-Za-z_\-+/.]{14,126}[0-9A-Za-z](?![0-9A-Za-z_\-+/.@])",
+    r"(?<=[=: \"'])(?=[0-9A-Za-z])(?<=[=:][ \"']{0,4})(?<=(?i:key|secret|token|password|passwd|pwd)[\"']{0,1} {0,3}[=:] {0,3}[\"']{0,1})(?=[A-Za-z_\-+/.]{0,127}[0-9])[0-9A-Za-z][0-9A-Za-z_\-+/.]{14,126}[0-9A-Za-z](?![0-9A-Za-z_\-+/.@])",
     r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     r"(?<![0-9])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9])",
     r"(?<![0-9/.])(?:[0-9]{1,2}([/.])[0-9]{1,2}\1|(?<![0-9]-)[0-9]{1,2}-[0-9]{1,2}-(?=[0-9]{4}(?!-[0-9])))(?:19|20)[0-9]{2}(?![0-9])",

@@ -6,8 +6,14 @@ is +1 for even k and -1 for odd k; of draws that meet in one dim the lowest k wi
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..shared import ship
 
 DIMS, DRAWS, CHUNK = 10_000, 200, 8
 #: name, dims, density
@@ -65,6 +71,113 @@ def decode_chunks(engrams: DataFrame, bound: DataFrame, ident: str) -> DataFrame
     return best.select(ident, "chunk_no", "pos", (-F.col("m.n")).cast("int").alias("decoded"), F.col("m.s").cast("bigint").alias("score"))
 
 
+class BoundCodes:
+    """The bound codebook as arrays: entries ordered by (pos, byte), and by dim."""
+
+    def __init__(self, rows: list[tuple[int, int, int, int]], chunk: int) -> None:
+        self.chunk = chunk
+        table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
+        self.code, self.dim, self.trit = table[:, 0] * 256 + table[:, 1], table[:, 2], table[:, 3]
+        self.first = np.searchsorted(self.code, np.arange(chunk * 256 + 1))
+        by_dim = np.argsort(self.dim, kind="stable")
+        self.dims = int(self.dim.max(initial=-1)) + 1
+        self.code_by_dim, self.trit_by_dim = self.code[by_dim], self.trit[by_dim]
+        self.first_by_dim = np.searchsorted(self.dim[by_dim], np.arange(self.dims + 1))
+
+    def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(chunk_no, dim, trit) of all chunks: signs of the sums of their bytes' vectors; zeros are left out."""
+        raw = np.frombuffer(data, np.uint8).astype(np.int64)
+        at = np.arange(len(raw))
+        code = at % self.chunk * 256 + raw
+        entry, size = _ranges(self.first, code)
+        key = np.repeat(at // self.chunk * self.dims, size) + self.dim[entry]
+        found, where = np.unique(key, return_inverse=True)
+        sums = np.sign(np.bincount(where, self.trit[entry], len(found))).astype(np.int64)
+        found, sums = found[sums != 0], sums[sums != 0]
+        return found // self.dims, found % self.dims, sums
+
+    def decode(self, chunk_no: np.ndarray, dim: np.ndarray, trit: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(chunk_no, pos, byte, score): the nearest byte of each place, ties to the lowest; places no code of which
+        shares a dim with the chunk are left out."""
+        known = dim < self.dims
+        chunk_no, dim, trit = chunk_no[known], dim[known], trit[known]
+        entry, size = _ranges(self.first_by_dim, dim)
+        key = np.repeat(chunk_no, size) * (self.chunk * 256) + self.code_by_dim[entry]
+        found, where = np.unique(key, return_inverse=True)
+        score = np.bincount(where, np.repeat(trit, size) * self.trit_by_dim[entry], len(found)).astype(np.int64)
+        place = found // 256
+        order = np.lexsort((found, -score, place))
+        first = order[np.r_[True, place[order][1:] != place[order][:-1]]] if len(order) else order
+        return place[first] // self.chunk, place[first] % self.chunk, found[first] % 256, score[first]
+
+
+def _ranges(first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All entries first[x], ..., first[x + 1] - 1 for each x of ``of``, and how many each has."""
+    size = first[of + 1] - first[of]
+    ends = np.cumsum(size)
+    return np.repeat(first[of] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0), size
+
+
+def bound_codes(spark: SparkSession, chunk: int = CHUNK, dims: int = DIMS, draws: int = DRAWS) -> BoundCodes:
+    """The bound codebook has a fixed size (about chunk * 256 * draws**2 / dims rows), so it comes to the driver."""
+    rows = bound_codebook(spark, chunk, dims, draws).select("pos", "byte", "dim", "trit").collect()
+    return BoundCodes([tuple(r) for r in rows], chunk)
+
+
+#: Bytes of a row that are worked on at once.
+PIECE = 1 << 16
+
+
+def _by_pieces(files: DataFrame, ident: str, data: str, codes: BoundCodes, names: list[str], work) -> DataFrame:
+    """``work(codes, bytes)`` gives columns of long, chunk_no first, for pieces of whole chunks of each row."""
+    schema = T.StructType([T.StructField(ident, files.schema[ident].dataType), *[T.StructField(x, T.LongType() if x == "score" else T.IntegerType()) for x in names]])
+    ship(files.sparkSession)
+    arrow, shared = to_arrow_schema(schema), files.sparkSession.sparkContext.broadcast(codes)
+    piece = PIECE // codes.chunk * codes.chunk
+
+    def run(batches):
+        for batch in batches:
+            for k, raw in enumerate(batch.column(1).to_pylist()):
+                for at in range(0, len(raw or b""), piece):
+                    columns = list(work(shared.value, raw[at : at + piece]))
+                    columns[0] = columns[0] + at // shared.value.chunk
+                    n = len(columns[0])
+                    own = batch.column(0).take(pa.array(np.full(n, k)))
+                    arrays = [own, *[pa.array(c, mask=c < 0 if name == "decoded" else None).cast(f.type) for c, name, f in zip(columns, names, list(arrow)[1:], strict=True)]]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+    return files.select(ident, F.col(data).cast("binary").alias("__data")).mapInArrow(run, schema)
+
+
+def encode_files(files: DataFrame, codes: BoundCodes, ident: str, data: str) -> DataFrame:
+    """Chunk engrams (ident, chunk_no, dim, trit) of each row's bytes, without any shuffle.
+
+    Rows with equal ids are encoded one by one; null and empty data give no chunk; strings are taken as UTF-8.
+    """
+    return _by_pieces(files, ident, data, codes, ["chunk_no", "dim", "trit"], lambda codes, raw: codes.encode(raw))
+
+
+def decode_files(files: DataFrame, codes: BoundCodes, ident: str, data: str) -> DataFrame:
+    """What :func:`decode_chunks` makes of :func:`encode_files`, in one step: (ident, chunk_no, pos, decoded, score)."""
+    return _by_pieces(files, ident, data, codes, ["chunk_no", "pos", "decoded", "score"], lambda codes, raw: codes.decode(*codes.encode(raw)))
+
+
+def compared_files(files: DataFrame, codes: BoundCodes, ident: str, data: str) -> DataFrame:
+    """(ident, chunk_no, pos, byte, decoded) of every byte, as :func:`compared`, in one step."""
+
+    def work(codes: BoundCodes, raw: bytes):
+        original = np.frombuffer(raw, np.uint8).astype(np.int64)
+        at = np.arange(len(original))
+        decoded = np.full(len(original), -1)
+        chunk_no, pos, byte, _ = codes.decode(*codes.encode(raw))
+        place = chunk_no * codes.chunk + pos
+        inside = place < len(original)
+        decoded[place[inside]] = byte[inside]
+        return at // codes.chunk, at % codes.chunk, original, decoded
+
+    return _by_pieces(files, ident, data, codes, ["chunk_no", "pos", "byte", "decoded"], work)
+
+
 def compared(rows: DataFrame, decoded: DataFrame, ident: str) -> DataFrame:
     """Every original byte beside what decoding gave (null where no code came back)."""
     return rows.join(decoded, [ident, "chunk_no", "pos"], "left").select(ident, "chunk_no", "pos", "byte", "decoded")

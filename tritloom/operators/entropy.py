@@ -2,18 +2,54 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..shared import ship
 
 FLOOR, CEILING, LOW, HIGH = 10_000, 250_000, 0.3, 0.8
 
 
 def byte_counts(df: DataFrame, ident: str, data: str, block: int | None = None) -> DataFrame:
-    """(ident[, block], byte, n). Pairs of hexadecimal digits stand for the bytes, so all of it stays in codegen."""
-    pairs = F.regexp_extract_all(F.hex(F.col(data).cast("binary")), F.lit(".."), F.lit(0))
-    rows = df.select(ident, F.posexplode(pairs).alias("__i", "byte"))
-    keys = [F.col(ident)] + ([F.expr(f"cast(__i div {block} as int)").alias("block")] if block else [])
-    return rows.groupBy(*keys, "byte").agg(F.count("*").alias("n"))
+    """(ident[, block], byte, n) with bytes as two hexadecimal digits; blocks are of ``block`` bytes.
+
+    A row's bytes are counted in its task by one pass of numpy; what is shuffled are counts, at most 256 for each row or
+    block, so rows with equal ids add up. Null data counts nothing.
+    """
+    ship(df.sparkSession)
+    ident_type = df.schema[ident].dataType
+    fields = [T.StructField(ident, ident_type), *([T.StructField("block", T.IntegerType())] if block else []), T.StructField("byte", T.StringType()), T.StructField("n", T.LongType())]
+    schema = T.StructType(fields)
+    arrow, hexes = to_arrow_schema(schema), np.array([f"{b:02X}" for b in range(256)])
+
+    def run(batches):
+        for batch in batches:
+            ids, rows, keys, counts = batch.column(0), [], [], []
+            for k, raw in enumerate(batch.column(1).to_pylist()):
+                if not raw:
+                    continue
+                seen = np.frombuffer(raw, np.uint8).astype(np.int64)
+                if block:
+                    seen += np.arange(len(seen)) // block * 256
+                    key, n = np.unique(seen, return_counts=True)
+                else:
+                    n = np.bincount(seen, minlength=256)
+                    key = np.flatnonzero(n)
+                    n = n[key]
+                rows.append(np.full(len(key), k))
+                keys.append(key)
+                counts.append(n)
+            if rows:
+                key = np.concatenate(keys)
+                columns = [ids.take(pa.array(np.concatenate(rows))), *([pa.array((key // 256).astype(np.int32))] if block else []), pa.array(hexes[key % 256]), pa.array(np.concatenate(counts))]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    counted = df.select(ident, F.col(data).cast("binary").alias("__data")).mapInArrow(run, schema)
+    return counted.groupBy(*[f.name for f in fields[:-1]]).agg(F.sum("n").alias("n"))
 
 
 def entropy(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,6 +79,10 @@ def outlier_regions(per_block: DataFrame, ident: str, threshold: float) -> DataF
 
 def ngram_counts(df: DataFrame, text: str, n: int, least: int = 1) -> DataFrame:
     """(gram, n): n-grams of words (split at spaces) over all rows, counted with map-side combination."""
-    words = df.select(F.filter(F.split(text, " "), lambda w: w != "").alias("w")).where(f"size(w) >= {n}")
-    grams = words.select(F.explode(F.expr(f"transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' '))")).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    words = df.select(F.filter(F.split(text, " "), lambda w: w != "").alias("w"))
+    grams = F.expr("w") if n == 1 else F.expr("slice(w, 1, greatest(0, size(w) - " + str(n - 1) + "))")
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.expr(f"slice(w, {k + 1}, greatest(0, size(w) - {n - 1}))"), lambda x, y: F.concat_ws(" ", x, y))
+    # An outer generator: others get a filter that works the array out a second time.
+    rows = words.select(F.explode_outer(grams).alias("gram")).where("gram is not null")
+    return rows.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import removed, written
+from .algebra import ternary
 
 WORD = 32
 QUERY_BLOCK = 4096
@@ -27,6 +28,22 @@ def pack(trits: DataFrame, key: str, dims: int) -> DataFrame:
     return packed.select(key, F.array(*[f"p{w}" for w in range(words)]).alias("pos"), F.array(*[f"n{w}" for w in range(words)]).alias("neg"))
 
 
+def pack_arrays(df: DataFrame, key: str, values: str, dims: int, threshold: float = 0.0) -> DataFrame:
+    """As :func:`pack` of the ternary projection of an array column, made in each row without a shuffle.
+
+    Vectors without any trit are left out, as they have no rows in long form.
+    """
+    words = -(-dims // WORD)
+    x = F.col(values)
+
+    def plane(w: int, sign: int) -> Column:
+        bit = lambda b: F.when(ternary(F.get(x, b + w * WORD), threshold) == sign, F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(min(WORD, dims - w * WORD) - 1)), F.lit(0).cast("bigint"), lambda s, b: s.bitwiseOR(bit(b)))
+
+    packed = df.select(key, *[F.array(*[plane(w, s) for w in range(words)]).alias(n) for s, n in ((1, "pos"), (-1, "neg"))])
+    return packed.where(F.exists("pos", lambda w: w != 0) | F.exists("neg", lambda w: w != 0))
+
+
 def unpack(packed: DataFrame, key: str) -> DataFrame:
     """Long trits of packed vectors."""
     words = packed.select(key, F.posexplode(F.arrays_zip("pos", "neg")).alias("w", "x"))
@@ -100,9 +117,9 @@ def exact_search(packed: DataFrame, queries: DataFrame, dims: int, k: int, key:
     return ranked(found, k, key)
 
 
-def ranked(scores: DataFrame, k: int, key: str = "vec_id", by: str = "score") -> DataFrame:
+def ranked(scores: DataFrame, k: int, key: str = "vec_id", by: str = "score", also: tuple[str, ...] = ()) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(by), key)
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", key, by)
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", key, by, *also)
 
 
 def overlaps(trits: DataFrame, queries: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -247,7 +264,7 @@ def shift_sweep(trits: DataFrame, queries: DataFrame, shifts: list[int], dims: i
     moved = moved.select("query_id", "shift", F.pmod(F.col("dim") + F.col("shift"), F.lit(dims)).cast("int").alias("dim"), F.col("trit").alias("q"))
     dots = trits.join(moved, "dim").where(F.col(key) != F.col("query_id")).groupBy("query_id", key, "shift").agg(F.sum(F.col("trit") * F.col("q")).cast("bigint").alias("dot"))
     best = dots.groupBy("query_id", key).agg(F.max(F.struct("dot", (-F.col("shift")).alias("n"))).alias("m"))
-    return ranked(best.select("query_id", key, F.col("m.dot").alias("score"), (-F.col("m.n")).cast("int").alias("shift")), k, key).join(best.select("query_id", key, (-F.col("m.n")).cast("int").alias("shift")), ["query_id", key]).select("query_id", "rank", key, "score", "shift")
+    return ranked(best.select("query_id", key, F.col("m.dot").alias("score"), (-F.col("m.n")).cast("int").alias("shift")), k, key, also=("shift",))
 
 
 def rerank(first: DataFrame, packed: DataFrame, queries: DataFrame, dims: int, k: int, by: str, key: str = "vec_id") -> DataFrame:

@@ -63,11 +63,23 @@ def compacted(engrams: DataFrame, current: DataFrame, ident: str) -> tuple[DataF
     return root, stats
 
 
+#: Prefix tables of at most so many rows become a map in the plan.
+PREFIXES = 200
+
+
 def longest_prefix(paths: DataFrame, prefixes: DataFrame, path: str, prefix: str, value: str, default: object) -> DataFrame:
     """Adds ``value``: that of the longest prefix that the path has as whole leading components, else ``default``.
 
-    Candidate prefixes of a path are its own leading parts, so this is an equi-join on them and not a theta-join.
+    Candidate prefixes of a path are its own leading parts. Up to ``PREFIXES`` prefixes are looked up in the row, without
+    any join; more are joined by equality with the parts.
     """
+    few = prefixes.select(prefix, value).limit(PREFIXES + 1).collect()
+    if few and len(few) <= PREFIXES:
+        known = F.create_map(*[F.lit(x) for r in few for x in (r[0], r[1])])
+        parts = F.split(F.col(path), "/")
+        leading = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+        found = F.filter(F.transform(leading, lambda p: known[p]), lambda v: v.isNotNull())
+        return paths.withColumn(value, F.coalesce(F.get(found, F.size(found) - 1), F.lit(default)))
     known = prefixes.select(F.col(prefix).alias("__p"), F.col(value).alias("__v"))
     rows = paths.select(F.col(path).alias("__path")).distinct().select("__path", F.explode(F.expr("transform(sequence(1, size(split(__path, '/'))), n -> array_join(slice(split(__path, '/'), 1, n), '/'))")).alias("__p"))
     best = rows.join(known, "__p").groupBy("__path").agg(F.max_by("__v", F.length("__p")).alias(value))

@@ -10,6 +10,7 @@ from ..operators import aggregate as G
 from ..operators import algebra as A
 from ..operators import entropy as E
 from ..operators import store as M
+from ..shared import spread
 from .vector_queries import D, T, P, labelled, table
 
 QUERIES: dict = {}
@@ -164,7 +165,7 @@ _ENT = "ent AS (SELECT doc_id{0}, CAST(sum(n) AS BIGINT) AS n_bytes, round(log2(
 
 @query("v28_entropy", f"WITH {_BC.format('documents', '', '')}, {_ENT.format('')} SELECT doc_id, n_bytes, entropy FROM ent")
 def _(spark, sf_dir):
-    return E.entropy(E.byte_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), ["doc_id"])
+    return E.entropy(E.byte_counts(spread(table(spark, sf_dir, "documents")), "doc_id", "text"), ["doc_id"])
 
 
 _X = "(entropy / 8 - 0.3) / (0.8 - 0.3)"
@@ -173,20 +174,20 @@ _DIM = "CAST(CASE WHEN entropy / 8 <= 0.3 THEN 10000 WHEN entropy / 8 >= 0.8 THE
 
 @query("v29_adaptive_dimension", f"WITH {_BC.format('documents', '', '')}, {_ENT.format('')} SELECT doc_id, {_DIM.format(_X)} AS linear, {_DIM.format(f'log2(1 + {_X})')} AS logarithmic, {_DIM.format(f'floor({_X} * 4) / 4')} AS stepped FROM ent")
 def _(spark, sf_dir):
-    e = E.entropy(E.byte_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), ["doc_id"])
+    e = E.entropy(E.byte_counts(spread(table(spark, sf_dir, "documents")), "doc_id", "text"), ["doc_id"])
     share = F.col("entropy") / 8
     return e.select("doc_id", *[E.select_dimension(share, c).alias(c) for c in ("linear", "logarithmic", "stepped")])
 
 
 @query("v30_outlier_regions", f"WITH {_BC.format('documents', ', CAST(i // 64 AS INTEGER) AS block', ', block')}, {_ENT.format(', block')}, g AS (SELECT doc_id, block, block - row_number() OVER (PARTITION BY doc_id ORDER BY block) AS g FROM ent WHERE entropy >= 4.3) SELECT doc_id, min(block) AS first_block, max(block) AS last_block FROM g GROUP BY doc_id, g")
 def _(spark, sf_dir):
-    counts = E.byte_counts(table(spark, sf_dir, "documents"), "doc_id", "text", 64)
+    counts = E.byte_counts(spread(table(spark, sf_dir, "documents")), "doc_id", "text", 64)
     return E.outlier_regions(E.entropy(counts, ["doc_id", "block"]), "doc_id", 4.3)
 
 
 @query("v19_ngrams", "SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM (SELECT list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents)) GROUP BY gram HAVING count(*) >= 5")
 def _(spark, sf_dir):
-    return E.ngram_counts(table(spark, sf_dir, "documents"), "text", 2, 5)
+    return E.ngram_counts(spread(table(spark, sf_dir, "documents")), "text", 2, 5)
 
 
 @query("a8_compression_ratio", f"WITH {FILES}, s AS (SELECT source, CAST(sum(size) AS BIGINT) AS original, CAST(sum(CASE WHEN lang = 'en' THEN size // 3 ELSE 0 END) AS BIGINT) AS encoded FROM files GROUP BY source) SELECT source, CASE WHEN encoded = 0 OR original = 0 THEN 'N/A' ELSE CAST(encoded * 10000 // original // 100 AS VARCHAR) || '.' || lpad(CAST(encoded * 10000 // original % 100 AS VARCHAR), 2, '0') END AS ratio FROM s")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import algebra as A
 from ..operators import codebook as C
 from ..operators import similarity as S
+from ..shared import spread
 
 D, THRESHOLD, K = 64, 0.1, 5
 QUERIES: dict = {}
@@ -193,9 +194,11 @@ _CMP = "cmp AS (SELECT b.item_id, b.chunk_no, b.pos, b.byte, d.decoded FROM byte
 
 
 def _encoded(spark, sf_dir):
-    bound = C.bound_codebook(spark)
-    rows = C.byte_rows(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return bound, rows, C.encode_chunks(rows, bound, "item_id")
+    return C.encode_files(table(spark, sf_dir, "benchmark"), C.bound_codes(spark), "item_id", "text")
+
+
+def _compared(spark, sf_dir):
+    return C.compared_files(table(spark, sf_dir, "benchmark"), C.bound_codes(spark), "item_id", "text")
 
 
 @query("v10_bound_codebook", f"WITH {_BOUND} SELECT pos, byte, dim, trit FROM bound")
@@ -205,32 +208,50 @@ def _(spark, sf_dir):
 
 @query("v11_encode_chunks", f"WITH {_BOUND}, {_BYTES}, {_ENGRAMS} SELECT item_id, chunk_no, dim, trit FROM engrams")
 def _(spark, sf_dir):
-    return _encoded(spark, sf_dir)[2]
+    return _encoded(spark, sf_dir)
 
 
 @query("v12_file_engrams", f"WITH {_BOUND}, {_BYTES}, {_ENGRAMS} SELECT item_id, dim, CAST(sign(sum(trit)) AS INTEGER) AS trit FROM engrams GROUP BY item_id, dim HAVING sum(trit) <> 0")
 def _(spark, sf_dir):
-    return A.bundle_many(_encoded(spark, sf_dir)[2], ["item_id"])
+    return A.bundle_many(_encoded(spark, sf_dir), ["item_id"])
 
 
 @query("x7_root_engram", f"WITH {_BOUND}, {_BYTES}, {_ENGRAMS} SELECT dim, CAST(sum(trit) AS BIGINT) AS votes, CAST(sign(sum(trit)) AS INTEGER) AS trit FROM engrams GROUP BY dim")
 def _(spark, sf_dir):
-    return A.votes(_encoded(spark, sf_dir)[2], []).select("dim", "votes", A.sign_of(F.col("votes")).alias("trit"))
+    return A.votes(_encoded(spark, sf_dir), []).select("dim", "votes", A.sign_of(F.col("votes")).alias("trit"))
 
 
 @query("v13_decode_chunks", f"WITH {_BOUND}, {_BYTES}, {_ENGRAMS}, {_DECODED} SELECT item_id, chunk_no, pos, decoded, score FROM decoded")
 def _(spark, sf_dir):
-    bound, _, engrams = _encoded(spark, sf_dir)
-    return C.decode_chunks(engrams, bound, "item_id")
+    return C.decode_files(table(spark, sf_dir, "benchmark"), C.bound_codes(spark), "item_id", "text")
 
 
 @query("a6_reconstruction_accuracy", f"WITH {_BOUND}, {_BYTES}, {_ENGRAMS}, {_DECODED}, {_CMP} SELECT item_id, count(*) AS n_bytes, count(*) FILTER (byte = decoded) AS n_right, round(count(*) FILTER (byte = decoded) / CAST(count(*) AS DOUBLE), 6) AS accuracy, round(avg((byte - coalesce(decoded, 0)) * (byte - coalesce(decoded, 0))), 6) AS mse FROM cmp GROUP BY item_id")
 def _(spark, sf_dir):
-    bound, rows, engrams = _encoded(spark, sf_dir)
-    cmp = C.compared(rows, C.decode_chunks(engrams, bound, "item_id"), "item_id")
+    return _accuracy(_compared(spark, sf_dir), "item_id")
+
+
+def _accuracy(cmp: DataFrame, ident: str) -> DataFrame:
     right = F.count_if(F.col("byte") == F.col("decoded"))
     off = F.col("byte") - F.coalesce("decoded", F.lit(0))
-    return cmp.groupBy("item_id").agg(F.count("*").alias("n_bytes"), right.alias("n_right"), F.round(right / F.count("*"), 6).alias("accuracy"), F.round(F.avg(off * off), 6).alias("mse"))
+    return cmp.groupBy(ident).agg(F.count("*").alias("n_bytes"), right.alias("n_right"), F.round(right / F.count("*"), 6).alias("accuracy"), F.round(F.avg(off * off), 6).alias("mse"))
+
+
+_DOCS = _BYTES.replace("item_id", "doc_id").replace("FROM benchmark", "FROM documents")
+
+
+@query("v11_encode_documents", f"WITH {_BOUND}, {_DOCS}, {_ENGRAMS.replace('item_id', 'doc_id')} SELECT doc_id, count(DISTINCT chunk_no) AS n_chunks, count(*) AS nnz, CAST(sum(trit * (dim + 1) * (chunk_no % 1000 + 1)) AS BIGINT) AS checksum FROM engrams GROUP BY doc_id")
+def _(spark, sf_dir):
+    """Engrams of all chunks of every document, as counts and a checksum."""
+    engrams = C.encode_files(spread(table(spark, sf_dir, "documents")), C.bound_codes(spark), "doc_id", "text")
+    check = (F.col("trit") * (F.col("dim") + 1)).cast("bigint") * (F.col("chunk_no") % 1000 + 1)
+    return engrams.groupBy("doc_id").agg(F.countDistinct("chunk_no").alias("n_chunks"), F.count("*").alias("nnz"), F.sum(check).alias("checksum"))
+
+
+@query("a6_reconstruction_documents", f"WITH {_BOUND}, {_DOCS}, {_ENGRAMS.replace('item_id', 'doc_id')}, {_DECODED.replace('item_id', 'doc_id')}, {_CMP.replace('item_id', 'doc_id')} SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (byte = decoded) AS n_right, round(count(*) FILTER (byte = decoded) / CAST(count(*) AS DOUBLE), 6) AS accuracy, round(avg((byte - coalesce(decoded, 0)) * (byte - coalesce(decoded, 0))), 6) AS mse FROM cmp GROUP BY doc_id")
+def _(spark, sf_dir):
+    """Share of bytes of every document that decoding its chunks gives back."""
+    return _accuracy(C.compared_files(spread(table(spark, sf_dir, "documents")), C.bound_codes(spark), "doc_id", "text"), "doc_id")
 
 
 _KINDS = f"""per AS (SELECT item_id, chunk_no, count(*) AS n_bytes, count(*) FILTER (decoded IS DISTINCT FROM byte) AS errors, min(pos) FILTER (decoded IS DISTINCT FROM byte) AS lo, max(pos) FILTER (decoded IS DISTINCT FROM byte) AS hi FROM cmp GROUP BY item_id, chunk_no),
@@ -239,22 +260,19 @@ kinds AS (SELECT item_id, chunk_no, n_bytes, errors, CASE WHEN errors = 0 THEN '
 
 @query("p9_correction_kinds", f"WITH {_BOUND}, {_BYTES}, {_ENGRAMS}, {_DECODED}, {_CMP}, {_KINDS} SELECT item_id, chunk_no, n_bytes, errors, kind FROM kinds")
 def _(spark, sf_dir):
-    bound, rows, engrams = _encoded(spark, sf_dir)
-    return C.correction_kinds(C.compared(rows, C.decode_chunks(engrams, bound, "item_id"), "item_id"), "item_id")
+    return C.correction_kinds(_compared(spark, sf_dir), "item_id")
 
 
 @query("a7_correction_overhead", f"WITH {_BOUND}, {_BYTES}, {_ENGRAMS}, {_DECODED}, {_CMP}, {_KINDS} SELECT kind, count(*) AS chunks, CAST(sum(errors) AS BIGINT) AS errors, round(sum(errors) / sum(n_bytes), 6) AS overhead FROM kinds GROUP BY kind")
 def _(spark, sf_dir):
-    bound, rows, engrams = _encoded(spark, sf_dir)
-    kinds = C.correction_kinds(C.compared(rows, C.decode_chunks(engrams, bound, "item_id"), "item_id"), "item_id")
+    kinds = C.correction_kinds(_compared(spark, sf_dir), "item_id")
     return kinds.groupBy("kind").agg(F.count("*").alias("chunks"), F.sum("errors").alias("errors"), F.round(F.sum("errors") / F.sum("n_bytes"), 6).alias("overhead"))
 
 
 @query("s12_extract_exact", f"SELECT item_id, {_HEX} AS hex FROM benchmark WHERE len(text) > 0")
 def _(spark, sf_dir):
-    bound, rows, engrams = _encoded(spark, sf_dir)
-    decoded = C.decode_chunks(engrams, bound, "item_id")
-    fixes = C.corrections(C.compared(rows, decoded, "item_id"), "item_id")
+    decoded = C.decode_chunks(_encoded(spark, sf_dir), C.bound_codebook(spark), "item_id")
+    fixes = C.corrections(_compared(spark, sf_dir), "item_id")
     sizes = table(spark, sf_dir, "benchmark").select("item_id", F.octet_length("text").alias("size"))
     return C.reconstruct(decoded, fixes, sizes, "item_id").select("item_id", F.lower("hex").alias("hex"))
 
@@ -267,7 +285,7 @@ c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 SELECT query_id, rank, item_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s) WHERE rank <= {K}""")
 def _(spark, sf_dir):
     """Texts nearest to the stated query texts by their encoded engrams."""
-    engrams = A.bundle_many(_encoded(spark, sf_dir)[2], ["item_id"])
+    engrams = A.bundle_many(_encoded(spark, sf_dir), ["item_id"])
     queries = engrams.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "dim", "trit")
     return S.two_stage(engrams, queries, 50, K, "item_id")
 
@@ -277,13 +295,13 @@ s AS (SELECT b.item_id AS query_id, a.item_id, coalesce(round(dot / sqrt(CAST(a.
 SELECT query_id, rank, item_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s) WHERE rank <= {K}""")
 def _(spark, sf_dir):
     """As w12_text_query, with no limit of candidates."""
-    engrams = A.bundle_many(_encoded(spark, sf_dir)[2], ["item_id"])
+    engrams = A.bundle_many(_encoded(spark, sf_dir), ["item_id"])
     queries = engrams.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "dim", "trit")
     return S.probe_exact(engrams, queries, K, "item_id")
 
 
 def packed(spark, sf_dir):
-    return S.pack(trits(spark, sf_dir), "vec_id", D)
+    return S.pack_arrays(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", D, THRESHOLD)
 
 
 def query_set(p: DataFrame) -> DataFrame:

@@ -9,8 +9,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..shared import removed, written
 from .algebra import ternary
@@ -107,16 +112,87 @@ def query_blocks(queries: DataFrame, per_block: int = QUERY_BLOCK) -> list[DataF
 def exact_search(packed: DataFrame, queries: DataFrame, dims: int, k: int, key: str = "vec_id", metric: str = "cosine") -> DataFrame:
     """(query_id, rank, vec_id, score): every query against all rows; the query's own row is left out.
 
-    queries: query_id, qpos, qneg. Ties go to the smaller id.
+    queries: query_id, qpos, qneg. Ties go to the smaller id. Each part of the rows is held against a block of queries
+    (at most about ``QUERY_BLOCK`` rows, gathered as bit planes) by popcounts over whole matrices, and passes on its best
+    k rows of each query only, so the shuffle grows with queries and parts but not with rows. Null keys take no part.
     """
     found = None
+    rows = packed.where(F.col(key).isNotNull()).select(key, "pos", "neg")
     for block in query_blocks(queries):
-        pairs = packed.select(key, F.col("pos").alias("apos"), F.col("neg").alias("aneg")).join(F.broadcast(block.select("query_id", F.col("qpos").alias("bpos"), F.col("qneg").alias("bneg"))), F.col("query_id") != F.col(key))
-        one = pair_metrics(pairs, ["query_id", key], dims).select("query_id", key, F.col(metric).cast("double").alias("score"))
+        one = pair_metrics(_best_of_parts(rows, block, k, key, metric), ["query_id", key], dims).select("query_id", key, F.col(metric).cast("double").alias("score"))
         found = one if found is None else found.unionByName(one)
     return ranked(found, k, key)
 
 
+#: Pairs of a row and a query that one matrix holds.
+PAIRS = 1 << 20
+
+
+def _best_of_parts(rows: DataFrame, block: DataFrame, k: int, key: str, metric: str) -> DataFrame:
+    """Packed pairs (query_id, key, apos, aneg, bpos, bneg): the best ``k`` rows of every part for each query of a block."""
+    asked = block.where(F.col("query_id").isNotNull()).select("query_id", "qpos", "qneg").collect()
+    names = [r["query_id"] for r in asked]
+    shared = rows.sparkSession.sparkContext.broadcast((names, np.array([r["qpos"] for r in asked], np.int64), np.array([r["qneg"] for r in asked], np.int64)))
+    pairs, long = PAIRS, T.ArrayType(T.LongType(), False)
+    schema = T.StructType([T.StructField("at", T.IntegerType()), T.StructField(key, rows.schema[key].dataType), T.StructField("apos", long), T.StructField("aneg", long)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        ids, qpos, qneg = shared.value
+        if not len(ids):
+            return
+        step, held = max(1, pairs // len(ids)), None
+        own = pd.Index(ids)
+        nb = np.bitwise_count(qpos | qneg).sum(1, dtype=np.int64)
+
+        def score(pos, neg):
+            same, opposite = np.zeros((2, len(pos), len(ids)), np.int64)
+            for w in range(pos.shape[1]):
+                p, n = pos[:, w, None], neg[:, w, None]
+                same += np.bitwise_count(p & qpos[:, w]) + np.bitwise_count(n & qneg[:, w])
+                opposite += np.bitwise_count(p & qneg[:, w]) + np.bitwise_count(n & qpos[:, w])
+            na = np.bitwise_count(pos | neg).sum(1, dtype=np.int64)[:, None]
+            if metric == "dot":
+                return (same - opposite).astype(float)
+            if metric == "hamming":
+                return (na + nb - 2 * same - opposite).astype(float)
+            if metric == "cosine":
+                top, under = same - opposite, np.sqrt((na * nb).astype(float))
+            else:
+                top, under = same + (opposite if metric == "jaccard_support" else 0), na + nb - same - opposite
+            share = np.divide(top, under, out=np.zeros(top.shape), where=under > 0)
+            return np.sign(share) * np.floor(np.abs(share) * 1e6 + 0.5) / 1e6
+
+        def best(table):
+            table = table.sort_values(["at", "score", key], ascending=[True, False, True], kind="stable")
+            return table[table.groupby("at").cumcount() < k]
+
+        for batch in batches:
+            columns = [batch.column(x) for x in range(3)]
+            keys = pd.Series(columns[0].to_pylist())
+            planes = [c.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1) for c in columns[1:]] if len(keys) else []
+            for low in range(0, len(keys), step):
+                part, pos, neg = keys.iloc[low : low + step], planes[0][low : low + step], planes[1][low : low + step]
+                scores = score(pos, neg)
+                same_key = own.get_indexer_for(part) if own.is_unique else None
+                if same_key is not None:
+                    mine = np.flatnonzero(same_key >= 0)
+                    scores[mine, same_key[mine]] = -np.inf
+                else:
+                    scores[part.to_numpy()[:, None] == own.to_numpy()] = -np.inf
+                least = np.partition(scores, -k, axis=0)[-k] if len(part) >= k else np.full(len(ids), -np.inf)
+                r, at = np.nonzero((scores >= least) & np.isfinite(scores))
+                table = pd.DataFrame({"at": at, "score": scores[r, at], key: part.iloc[r].to_numpy(), "pos": list(pos[r]), "neg": list(neg[r])})
+                held = best(table if held is None else pd.concat([held, table]))
+        for low in range(0, 0 if held is None else len(held), 1 << 14):
+            out = held.iloc[low : low + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(out[c]), f.type) for c, f in zip(["at", key, "pos", "neg"], arrow, strict=True)], schema=arrow)
+
+    found = rows.mapInArrow(run, schema)
+    side = rows.sparkSession.createDataFrame([(i, r["query_id"], r["qpos"], r["qneg"]) for i, r in enumerate(asked)], T.StructType([T.StructField("at", T.IntegerType()), block.schema["query_id"], T.StructField("bpos", long), T.StructField("bneg", long)]))
+    return found.join(F.broadcast(side), "at").drop("at")  # at most the queries of a block
+
+
 def ranked(scores: DataFrame, k: int, key: str = "vec_id", by: str = "score", also: tuple[str, ...] = ()) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(by), key)
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", key, by, *also)
@@ -133,7 +209,7 @@ def overlaps(trits: DataFrame, queries: DataFrame, key: str = "vec_id") -> DataF
 
 
 def two_stage(trits: DataFrame, queries: DataFrame, candidates: int, k: int, key: str = "vec_id") -> DataFrame:
-    """Candidates by overlap from the inverted index, then exact cosine among them.
+    """Candidates by dot from the inverted index, then exact cosine among them.
 
     A fixed number of candidates loses neighbours, the more the more rows there are; :func:`two_stage_exact` and
     :func:`probe_exact` lose none.
@@ -141,7 +217,7 @@ def two_stage(trits: DataFrame, queries: DataFrame, candidates: int, k: int, key
     nnz = trits.groupBy(key).agg(F.count("*").alias("nnz"))
     qn = queries.groupBy("query_id").agg(F.count("*").alias("qn"))
     top = overlaps(trits, queries, key)
-    order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), key)
+    order = Window.partitionBy("query_id").orderBy(F.desc("dot"), key)
     top = top.withColumn("c", F.row_number().over(order)).where(F.col("c") <= candidates)
     scored = top.join(nnz, key).join(qn, "query_id").select("query_id", key, F.round(F.col("dot") / F.sqrt((F.col("nnz") * F.col("qn")).cast("double")), 6).alias("score"))
     return ranked(scored, k, key)

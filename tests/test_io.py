@@ -39,6 +39,9 @@ def test_dataset_readers(spark, tmp_path):
     (tmp_path / "p.pdf").write_bytes(b"%PDF-1.4\n1 0 obj\n<<>>\nstream\nBT (Hello) Tj [(Wor) -20 (ld)] TJ ET\nendstream\nendobj")
     record = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://e.example/\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     (tmp_path / "r.warc.gz").write_bytes(gzip.compress((record * 2).encode()))
+    inside = "WARC/1.0\r\n\r\nnot a record"
+    tricky = f"WARC/1.1\r\nWARC-Type: resource\r\ncontent-length: {len(inside)}\r\n\r\n{inside}\r\n\r\n" + record
+    (tmp_path / "s.warc").write_text(tricky + "WARC/1.0\r\nWARC-Type: broken\r\n\r\n", newline="")
     read = lambda name, kind, **kw: sources.dataset(spark, str(tmp_path / name), kind, **kw)
     assert read("t.md", "md").first().text == "# head\nbody"
     assert read("t.md", "lines").count() == 2
@@ -46,10 +49,11 @@ def test_dataset_readers(spark, tmp_path):
     assert read("w.json", "json", schema="a int").agg(F.sum("a")).first()[0] == 4
     assert read("c.csv", "csv", schema="a int, b string").first().b == "x" and read("c.tsv", "tsv", schema="a int, b string").count() == 2
     assert read("x.xml", "xml", schema="a int").count() == 2
-    assert read("h.html", "html").first().text == "Yes &amp; no"
+    assert read("h.html", "html").first().text == "Yes & no"
     assert read("p.pdf", "pdf").first().text == "Hello World"
     got = read("r.warc.gz", "warc").collect()
     assert [(r.kind, r.uri, r.content) for r in got] == [("response", "http://e.example/", "hello")] * 2
+    assert [(r.kind, r.uri, r.content) for r in read("s.warc", "warc").collect()] == [("resource", "", inside), ("response", "http://e.example/", "hello")]
     assert read("../" + tmp_path.name + "/c.csv", "csv").columns == ["a", "b"]
     assert sources.catalog(spark, "medium").where("tier = 'large'").count() == 0 and sources.catalog(spark).count() == 10
 
@@ -68,6 +72,28 @@ def test_engram_round_trip_codecs_and_dry_run(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "by")).count() == 3
 
 
+def test_codec_levels_and_tree_profile(spark, tmp_path):
+    import pyarrow.parquet as pq
+    import pytest
+
+    assert sinks.PROFILE_CODECS["kernel"] == ("zstd", 19) and sinks.PROFILE_CODECS["runtime"] == ("none", None)
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 10007).alias("n"), F.md5(F.col("id").cast("string")).alias("h"), F.lit("kernel").alias("profile"))
+    size = {}
+    for level in (1, 19):
+        rows.coalesce(1).write.options(**sinks.parquet_options("zstd", level)).parquet(str(tmp_path / str(level)))
+        size[level] = sum(f.stat().st_size for f in (tmp_path / str(level)).glob("*.parquet"))
+    assert size[19] < size[1]
+    sinks.save_by_profile(rows, "profile", str(tmp_path / "by"))
+    assert pq.ParquetFile(next((tmp_path / "by/profile=kernel").glob("*.parquet"))).metadata.row_group(0).column(0).compression == "ZSTD"
+    for wrong in (("lz4", 3), ("brotli", None)):
+        with pytest.raises(ValueError):
+            sinks.parquet_options(*wrong)
+    files = spark.createDataFrame([("/r", "/r/a/b/one", 2048, "text", False), ("/r", "/r/a/two", None, "\x00\x01", False), ("/r", "/r/top", 1, "", None), ("/r", "/r/a/c/link", 9, "x", True)], "root string, path string, size bigint, text string, link boolean")
+    got = sources.tree_profile(files, "root", F.col("text"), F.col("link")).first().asDict()
+    assert got == {"directory": "/r", "file_count": 3, "directory_count": 3, "symlink_count": 1, "total_bytes": 2049, "text_files": 2, "binary_files": 1, "total_size_human": "2.1K", "estimated_encode_seconds": 1}
+    assert sources.tree_profile(files.limit(0), "root", F.col("text")).count() == 0
+
+
 def test_manifest_document_and_reports(spark, tmp_path):
     m = spark.createDataFrame([("/a", "t", 2, 100, 50), ("/b", "t", 1, 10, 0)], "directory string, encoded_at string, file_count bigint, original_bytes bigint, encoded_bytes bigint")
     doc = json.loads(sinks.manifest_json(m, "/", "now").first().value)
@@ -122,6 +148,12 @@ def test_streams_equal_batches(spark, tmp_path):
     trits = lambda df: df.select("user_id", (F.col("event_id") % 16).cast("int").alias("dim"), F.when(F.col("value") > 50, 1).otherwise(-1).alias("trit"))
     state = run(streaming.bundle_state(trits(stream), ["user_id"]), "state", "complete")
     assert sorted(map(tuple, state.collect())) == sorted(map(tuple, streaming.bundle_state(trits(batch), ["user_id"]).collect()))
+    texts = spark.createDataFrame([(1, "some text of more than a chunk"), (2, ""), (3, None), (4, "ünï"), (4, "again")], "item_id bigint, text string")
+    texts.repartition(3).write.parquet(str(tmp_path / "texts"))
+    moving = streaming.source(spark, str(tmp_path / "texts"), texts.schema, 1)
+    for name, step in (("encoded", streaming.encode_stream), ("decoded", streaming.decode_stream)):
+        streamed = streaming.run_to_table(step(moving, "item_id", "text"), str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-mark"))
+        assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, step(texts, "item_id", "text").collect())) and streamed.count() > 0
     seen = []
     query = streaming.subscribe(streaming.alerts(stream, "value", 90.0), lambda df, n: seen.append(df.count()), str(tmp_path / "sub"))
     query.processAllAvailable()

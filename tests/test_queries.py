@@ -26,7 +26,10 @@ def test_systematic_sample(spark):
     got = systematic_sample(df, ["id"], 100)
     assert got.columns == ["id", "x"] and got.count() == 10
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in systematic_sample(df.repartition(3), ["id"], 100).collect())
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in systematic_sample(df, ["id"], 100, digits=1).collect())
     assert systematic_sample(df.limit(0), ["id"], 100).count() == 0
+    nulls = df.withColumn("k", F.when(F.col("x") > 0, F.col("x"))).select("k")
+    assert systematic_sample(nulls, ["k"], 10).count() == 100
 
 
 def test_resonator_recovers_most_factors(spark):

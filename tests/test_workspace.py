@@ -20,3 +20,17 @@ def test_ingest_extract_and_query(spark, tmp_path):
     best = found.orderBy("rank").first()
     assert best.path.endswith("deep/b.txt") and best.score == 1.0
     assert workspace.query(spark, saved, "").count() == 0
+
+
+def test_progressive_run_goes_on_where_it_ended(spark, tmp_path):
+    held = {"/var/log/a": b"late", "/usr/share/b": b"first", "/etc/c": b"config", "/etc/d": b"more config", "/srv/e": b"default"}
+    files = spark.createDataFrame([(p, len(x), bytearray(x)) for p, x in held.items()], "path string, size bigint, content binary")
+    saved = str(tmp_path / "levels")
+    levels = [(10, "default"), (30, "config"), (50, "default"), (90, "logs")]
+    assert workspace.ingest_progressive(files.where("path not like '/var%'"), saved) == [(*x, "saved") for x in levels[:3]]
+    changed = files.selectExpr("path", "size", "if(path = '/etc/c', cast('CONFIG' as binary), content) as content")
+    assert workspace.ingest_progressive(changed, saved) == [(10, "default", "kept"), (30, "config", "saved"), (50, "default", "kept"), (90, "logs", "saved")]
+    back = {r.path: bytes(r.content) for p, q in levels for r in workspace.extract(spark, f"{saved}/{p}/{q}").where("intact").collect()}
+    assert back == held | {"/etc/c": b"CONFIG"}
+    assert workspace.verify_sample(spark, f"{saved}/30/config", 2).count() == 1
+    assert workspace.ingest_progressive(files.limit(0), saved) == []

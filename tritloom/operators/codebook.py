@@ -207,10 +207,15 @@ def correction_kinds(compared_rows: DataFrame, ident: str) -> DataFrame:
 
 
 def reconstruct(decoded: DataFrame, fixes: DataFrame, sizes: DataFrame, ident: str, chunk: int = CHUNK) -> DataFrame:
-    """Files (ident, hex) from decoded chunks and corrections; ``sizes`` (ident, size) is the manifest's."""
+    """Files (ident, hex) from decoded chunks and corrections; ``sizes`` (ident, size) is the manifest's.
+
+    Bytes are joined into chunks first, keyed by file and chunk, and chunks into files then.
+    """
     fixed = fixes.select(ident, "chunk_no", "pos", F.col("byte").alias("right"))
     places = decoded.select(ident, "chunk_no", "pos", "decoded").join(fixed, [ident, "chunk_no", "pos"], "full")
     at = F.col("chunk_no").cast("bigint") * chunk + F.col("pos")
     byte = F.lpad(F.hex(F.coalesce("right", "decoded").cast("bigint")), 2, "0")
-    placed = places.select(ident, at.alias("at"), byte.alias("b")).join(sizes, ident).where("at < size")
-    return placed.groupBy(ident).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "b"))), lambda x: x["b"]), "").alias("hex"))
+    placed = places.select(ident, "chunk_no", "pos", at.alias("at"), byte.alias("b")).join(sizes, ident).where("at < size")
+    joined = lambda place, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, text))), lambda x: x[text]), "")
+    chunks = placed.groupBy(ident, "chunk_no").agg(joined("pos", "b").alias("c"))
+    return chunks.groupBy(ident).agg(joined("chunk_no", "c").alias("hex"))

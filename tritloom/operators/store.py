@@ -108,19 +108,20 @@ def stale(sources: DataFrame, engrams: DataFrame, key: str = "path") -> DataFram
     return sources.join(done, key, "left").where(F.col("__e").isNull() | (F.col("__e") <= F.col("mtime"))).drop("__e")
 
 
-def systematic_sample(df: DataFrame, order: list[str], every: int, parts: int = 64) -> DataFrame:
-    """Each ``every``-th row in a total order, without moving all rows into one task.
+def systematic_sample(df: DataFrame, order: list[str], every: int, digits: int = 3) -> DataFrame:
+    """Each ``every``-th row in the total order of the MD5 of ``order``, then ``order`` itself, nulls first.
 
-    Rows are numbered within hashed parts by the order; part offsets come from the part counts.
+    Rows are numbered within parts by the first ``digits`` hexadecimal digits of the MD5, which follow the same order;
+    part offsets come from the part counts, 16 ** digits rows at most. Rows that agree in all of ``order`` share a part.
     """
-    part = F.pmod(F.xxhash64(*order), F.lit(parts))
-    rows = df.withColumn("__part", part)
-    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]
+    rows = df.withColumn("__md5", F.md5(F.concat_ws("|", *named))).withColumn("__part", F.substring("__md5", 1, digits))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy("__md5", *order))
     sizes = rows.groupBy("__part").agg(F.count("*").alias("__size"))
     offset = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.withColumn("__offset", offset).select("__part", "__offset")
-    numbered = rows.withColumn("__nth", nth).join(F.broadcast(offsets), "__part")  # one row a part
-    return numbered.where((F.col("__nth") + F.col("__offset")) % every == 0).drop("__part", "__nth", "__offset")
+    offsets = sizes.select("__part", offset.alias("__offset"))
+    numbered = rows.withColumn("__nth", nth).join(F.broadcast(offsets), "__part")  # 16 ** digits rows at most
+    return numbered.where((F.col("__nth") + F.col("__offset")) % every == 0).drop("__md5", "__part", "__nth", "__offset")
 
 
 def verified(original: DataFrame, extracted: DataFrame, key: str, digest: str) -> DataFrame:

@@ -144,7 +144,7 @@ def _(spark, sf_dir):
     return M.stale(src, eng, "user_id").select("user_id", F.unix_micros(F.col("mtime").cast("timestamp")).alias("mtime_us"))
 
 
-@query("p5_systematic_sample")
+@query("p5_systematic_sample", "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS nth FROM documents) WHERE nth % 100 = 0")
 def _(spark, sf_dir):
     return M.systematic_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"], 100)
 

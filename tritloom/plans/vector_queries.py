@@ -142,7 +142,7 @@ def _(spark, sf_dir):
 
 
 _SHIFTED = f"b AS (SELECT vec_id, CAST((dim + 3) % {D} AS INTEGER) AS dim, trit AS tb FROM trits), j AS (SELECT coalesce(trits.vec_id, b.vec_id) AS vec_id, coalesce(trits.dim, b.dim) AS dim, coalesce(trit, 0) AS x, coalesce(tb, 0) AS y FROM trits FULL JOIN b ON trits.vec_id = b.vec_id AND trits.dim = b.dim)"
-_LOGIC = {"add": "sign(x + y)", "sub": "sign(x - y)", "and": "least(x, y)", "or": "greatest(x, y)", "xor": "-x * y"}
+_LOGIC = {"add": "sign(x + y)", "sub": "sign(x - y)", "and": "least(x, y)", "or": "greatest(x, y)", "xor": "-x * y", "eq": "CASE WHEN x = y THEN 1 ELSE 0 END"}
 for _name, _sql in _LOGIC.items():
 
     @query(f"v26_latent_{_name}", f"WITH {T}, {_SHIFTED}, r AS (SELECT vec_id, dim, CAST({_sql} AS INTEGER) AS trit FROM j) SELECT * FROM r WHERE trit <> 0")

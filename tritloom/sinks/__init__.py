@@ -6,29 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CODECS = ("zstd", "lz4", "snappy", "gzip", "none")
-#: Codec of each compression profile.
-PROFILE_CODECS = {"kernel": "zstd", "libraries": "zstd", "binaries": "zstd", "config": "lz4", "logs": "zstd", "runtime": "none", "default": "zstd"}
+#: Codec of each compression profile, and its level where it has one.
+PROFILE_CODECS = {"kernel": ("zstd", 19), "libraries": ("zstd", 9), "binaries": ("zstd", 6), "config": ("lz4", None), "logs": ("zstd", 3), "runtime": ("none", None), "default": ("zstd", 6)}
 
 
-def save_engram(trits: DataFrame, manifest: DataFrame, path: str, codec: str = "zstd", dry_run: bool = False) -> str:
+def parquet_options(codec: str, level: int | None = None) -> dict[str, str]:
+    """Options of a Parquet writer for a codec of ``CODECS``; levels are for zstd only."""
+    if codec not in CODECS:
+        raise ValueError(f"unknown codec {codec}")
+    if level is not None and codec != "zstd":
+        raise ValueError(f"{codec} has no levels")
+    options = {"compression": codec.replace("lz4", "lz4_raw")}
+    return options if level is None else options | {"parquet.compression.codec.zstd.level": str(level)}
+
+
+def save_engram(trits: DataFrame, manifest: DataFrame, path: str, codec: str = "zstd", dry_run: bool = False, level: int | None = None) -> str:
     """Writes trits ordered by dim, so probes prune row groups, and the manifest as JSON lines.
 
     A dry run returns the plan and writes nothing.
     """
-    if codec not in CODECS:
-        raise ValueError(f"unknown codec {codec}")
+    options = parquet_options(codec, level)
     ordered = trits.repartitionByRange("dim").sortWithinPartitions("dim")
     if dry_run:
         return ordered._jdf.queryExecution().simpleString()
-    ordered.write.mode("overwrite").option("compression", codec.replace("lz4", "lz4_raw")).parquet(f"{path}/engram")
+    ordered.write.mode("overwrite").options(**options).parquet(f"{path}/engram")
     manifest.write.mode("overwrite").json(f"{path}/manifest")
     return path
 
 
 def save_by_profile(rows: DataFrame, profile: str, path: str) -> None:
-    """One table for each compression profile, with the profile's codec."""
-    for name, codec in PROFILE_CODECS.items():
-        rows.where(F.col(profile) == name).drop(profile).write.mode("overwrite").option("compression", codec).parquet(f"{path}/profile={name}")
+    """One table for each compression profile, with the profile's codec and level."""
+    for name, (codec, level) in PROFILE_CODECS.items():
+        rows.where(F.col(profile) == name).drop(profile).write.mode("overwrite").options(**parquet_options(codec, level)).parquet(f"{path}/profile={name}")
 
 
 def manifest_json(manifest: DataFrame, root: str, created: str) -> DataFrame:

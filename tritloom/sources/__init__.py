@@ -6,10 +6,10 @@ through ``binaryFile`` and native expressions, or an Arrow function where they n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import content_class, media_type
+from ..functions import content_class, human_size, media_type, path_parts
 
 #: Dataset tiers and the largest size in MB of each.
 TIERS = [("small", 100), ("medium", 1_000), ("large", 10_000), ("full", 20_000)]
@@ -44,6 +44,25 @@ def profile(files: DataFrame) -> DataFrame:
     )
 
 
+def tree_profile(files: DataFrame, root: str, text: Column, link: Column | None = None) -> DataFrame:
+    """One row for each value of ``root``, with all that lies below it: files, folders, links, bytes and kinds of content.
+
+    files: path, size, ``root`` (a leading part of the path). Folders are those that the paths of files and links pass
+    through below the root; links (rows where ``link`` is true) count as links only. Null sizes count as no bytes.
+    """
+    rows = files.select(F.col(root).alias("directory"), "path", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"), content_class(text).alias("kind"), F.coalesce(link, F.lit(False)).alias("link") if link is not None else F.lit(False).alias("link"))
+    parts = path_parts(F.substring(F.col("path"), F.length("directory") + 1, F.length("path")))
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    folders = rows.where(F.size(parts) > 1).select("directory", F.explode(above).alias("folder")).distinct().groupBy("directory").agg(F.count("*").alias("directory_count"))
+    file = ~F.col("link")
+    total = F.coalesce(F.sum(F.when(file, F.col("size"))), F.lit(0))
+    sums = rows.groupBy("directory").agg(
+        F.count_if(file).alias("file_count"), F.count_if("link").alias("symlink_count"), total.alias("total_bytes"), F.count_if(file & (F.col("kind") == "text")).alias("text_files"), F.count_if(file & (F.col("kind") == "binary")).alias("binary_files")
+    )
+    both = sums.join(folders, "directory", "left").withColumn("directory_count", F.coalesce("directory_count", F.lit(0)))
+    return both.withColumn("total_size_human", human_size(F.col("total_bytes"))).withColumn("estimated_encode_seconds", (F.floor(F.col("total_bytes") / 10485760.0) + 1).cast("bigint"))
+
+
 def media(files: DataFrame) -> DataFrame:
     """(path, size, media) by first bytes."""
     return files.select("path", "size", media_type(F.col("content")).alias("media"))
@@ -76,11 +95,11 @@ def dataset(spark: SparkSession, path: str, kind: str, schema: str | None = None
         text = F.col("value")
         for pattern, by in _html_text:
             text = F.regexp_replace(text, pattern, by)
-        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.trim(text).alias("text"))
+        return unescaped(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.trim(text).alias("text")), "text")
     if kind == "pdf":
         return pdf_texts(directory(spark, path))
     if kind == "warc":
-        return warc_records(spark.read.text(path, lineSep="WARC/1.0\r\n"))
+        return warc_records(directory(spark, path))
     raise ValueError(f"no reader for {kind}")
 
 
@@ -113,11 +132,49 @@ def pdf_texts(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, text string")
 
 
-def warc_records(records: DataFrame) -> DataFrame:
-    """(kind, uri, date, content) of WARC records, split by their version line; native expressions only."""
-    head = lambda name: F.regexp_extract("value", rf"(?im)^{name}:\s*(\S+)", 1)
-    body = F.regexp_replace(F.expr("substr(value, instr(value, '\\r\\n\\r\\n') + 4)"), "(\r\n)+$", "")
-    return records.where(F.trim("value") != "").select(head("WARC-Type").alias("kind"), head("WARC-Target-URI").alias("uri"), head("WARC-Date").alias("date"), body.alias("content"))
+def unescaped(df: DataFrame, text: str) -> DataFrame:
+    """``text`` with its HTML character references decoded."""
+
+    def run(batches):
+        import html
+
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            yield batch.set_column(at, text, pa.array([None if t is None else html.unescape(t) for t in batch.column(at).to_pylist()], pa.string()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def warc_records(files: DataFrame) -> DataFrame:
+    """(kind, uri, date, content) of the records of WARC files, plain or gzipped, read by their Content-Length.
+
+    A version line within a payload is payload. A file is read by one task and ends at the first broken record; null and
+    empty files give no rows. Contents are read as UTF-8, other bytes as replacement characters.
+    """
+
+    def run(batches):
+        import gzip
+
+        import pyarrow as pa
+
+        names = ("warc-type", "warc-target-uri", "warc-date")
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                data, at = data or b"", 0
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                while (at := data.find(b"WARC/", at)) >= 0:
+                    end = data.find(b"\r\n\r\n", at)
+                    head = dict(line.split(":", 1) for line in data[at : max(end, at)].decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
+                    head = {k.strip().lower(): v.strip() for k, v in head.items()}
+                    if end < 0 or not head.get("content-length", "").isdigit():
+                        break
+                    at = end + 4 + int(head["content-length"])
+                    row = [*(head.get(n, "") for n in names), data[end + 4 : at].decode("utf-8", "replace")]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in row], names=["kind", "uri", "date", "content"])
+
+    return files.select("content").mapInArrow(run, "kind string, uri string, date string, content string")
 
 
 def catalog(spark: SparkSession, tier: str | None = None) -> DataFrame:

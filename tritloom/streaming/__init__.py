@@ -44,9 +44,22 @@ def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "a
     return stream.sparkSession.table(table)
 
 
-def encode_stream(files: DataFrame, bound: DataFrame, ident: str, data: str, chunk: int) -> DataFrame:
-    """Chunk engram votes of streamed files, keyed by chunk: (ident, chunk_no, dim, votes)."""
-    from ..operators.codebook import byte_rows
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over what its source has now, into a Parquet table that executors write."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def encode_stream(files: DataFrame, ident: str, data: str, chunk: int | None = None) -> DataFrame:
+    """Chunk engrams (ident, chunk_no, dim, trit) of streamed files: each row holds whole chunks, so there is no state."""
+    from ..operators.codebook import CHUNK, bound_codes, encode_files
+
+    return encode_files(files, bound_codes(files.sparkSession, chunk or CHUNK), ident, data)
+
+
+def decode_stream(files: DataFrame, ident: str, data: str, chunk: int | None = None) -> DataFrame:
+    """(ident, chunk_no, pos, decoded, score) of streamed files after encoding, without state."""
+    from ..operators.codebook import CHUNK, bound_codes, decode_files
 
-    joined = byte_rows(files, ident, data, chunk).join(F.broadcast(bound), ["pos", "byte"])
-    return joined.groupBy(ident, "chunk_no", "dim").agg(F.sum("trit").alias("votes"))
+    return decode_files(files, bound_codes(files.sparkSession, chunk or CHUNK), ident, data)

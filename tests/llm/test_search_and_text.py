@@ -136,6 +136,31 @@ def test_license_scan_edges(spark):
     assert licenses.scan(docs.limit(0), licenses.templates(spark), ["license"]).count() == 0
 
 
+
+def test_license_scan_with_a_folder_of_whole_texts(spark, tmp_path):
+    import random
+
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in ("ter", "war", "lib", "grant", "copy") for b in ("ms", "ranty", "erty", "or", "ing", "able", "ed")]
+    full = {name: " ".join(rng.choice(words) for _ in range(n)) for name, n in (("long", 1500), ("short", 40), ("tiny", 3))}
+    for name, text in full.items():
+        (tmp_path / f"{name}.txt").write_text(text.replace(" ", "\n ", 7))
+    known, cover = licenses.templates_in(spark, str(tmp_path))
+    assert {r.license_id for r in known.collect()} == set(full)
+    cut = full["long"].split()
+    texts = ["intro text " + full["long"].upper() + " the end", " ".join(cut[150:]), " ".join(cut[:700]), full["short"], full["tiny"], None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.license_id): r.containment for r in licenses.scan(docs, known, cover).collect()}
+
+    def shingles(text):
+        w = licenses.template_words(text)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    want = {(d, n): len(shingles(t) & shingles(f)) / len(shingles(f)) for d, t in enumerate(texts) if t for n, f in full.items() if shingles(f)}
+    assert set(got) == {k for k, v in want.items() if v >= licenses.CONTAINED} == {(0, "long"), (1, "long"), (3, "short")}
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
+
+
 def test_cover_words_bound_the_containment():
     texts = [t for _, t in licenses.TEMPLATES]
     cover = set(licenses.cover_words(texts))

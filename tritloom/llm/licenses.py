@@ -84,6 +84,15 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEMPLATES, "license_id string, text string")
 
 
+def templates_in(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    """(license_id, text) of a folder of whole license texts, a file each, named by the file; and their cover words.
+
+    For full texts, which are not kept here. Texts of licenses are a stated, small set, so their words come to the driver.
+    """
+    rows = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+?)(\\.txt)?$", 1).alias("license_id"), F.col("value").alias("text"))
+    return rows, cover_words(sorted({r["text"] for r in rows.select("text").collect()}))
+
+
 def scan(docs: DataFrame, known: DataFrame, cover: list[str], *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """known: license_id, text; cover: :func:`cover_words` of those texts.
 

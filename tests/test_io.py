@@ -174,3 +174,11 @@ def test_fsck_and_custom_operation(spark):
     assert {r.dim: r.trit for r in A.compute(a, a, "nand_for_test", "vec_id", 2).collect()} == {0: -1, 1: 1}
     with pytest.raises(ValueError):
         A.register_operation("and", F.least)
+
+
+def test_human_size_of_products_over_64_bits(spark, tmp_path):
+    from tritloom.plans import QUERIES
+
+    spark.createDataFrame([(1, 1), (9_000_000, 900_000), (300_000, 15_000)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.human for r in QUERIES["s4_human_size"](spark, str(tmp_path)).collect()}
+    assert got == {1: "1", 9_000_000: "64749P", 300_000: "1.2P"}

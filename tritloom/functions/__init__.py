@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def human_size(size: Column) -> Column:
-    """Bytes in powers of 1024 with one decimal below ten, rounded up, as 1023, 1.0K, 12M."""
+    """Bytes in powers of 1024 with one decimal below ten, rounded up, as 1023, 1.0K, 12M; whole numbers of any type."""
     units = ["", "K", "M", "G", "T", "P"]
     out = size.cast("string")
     for k in range(1, len(units)):
-        scaled = size / 1024**k
+        scaled = size.cast("double") / 1024**k
         small = F.format_string("%.1f%s", F.ceil(scaled * 10) / 10, F.lit(units[k]))
         large = F.concat(F.ceil(scaled).cast("string"), F.lit(units[k]))
         out = F.when(size >= 1024**k, F.when(F.ceil(scaled * 10) < 100, small).otherwise(large)).otherwise(out)

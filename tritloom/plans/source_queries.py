@@ -52,7 +52,8 @@ def human_sql(size: str) -> str:
 
 @query("s4_human_size", f"SELECT o_orderkey, {human_sql('n')} AS human FROM (SELECT o_orderkey, o_orderkey * o_orderkey * o_custkey AS n FROM orders)")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", X.human_size(F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_custkey")).alias("human"))
+    key, customer = (F.col(c).cast("decimal(19,0)") for c in ("o_orderkey", "o_custkey"))  # the product may pass 64 bits
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.human_size(key * key * customer).alias("human"))
 
 
 _TREE = f"""WITH {FILES}, f AS (SELECT '/' || coalesce(source, 'none') AS directory, coalesce(lang, 'none') AS folder, size, coalesce(lang = 'fr', false) AS link,

@@ -9,3 +9,15 @@ def test_signature_components_are_whole(spark):
     got = {(r.vec_id, r.class_id, r.n_links) for r in S.signature_components(signed, "vec_id").collect()}
     assert got == {(1, 1, 1), (9, 1, 2), (2, 1, 2), (7, 1, 1), (5, 5, 0), (20, 20, 1), (21, 20, 2), (22, 20, 2), (23, 20, 1)}
     assert S.signature_components(signed.limit(0), "vec_id").count() == 0
+
+
+def test_spread_leaves_even_files_alone(spark, tmp_path):
+    """A table that is in enough even files already is not shuffled; one file is dealt out."""
+    from tritloom.shared import spread
+
+    df = spark.range(8000)
+    dealt = lambda path: "Repartition" in spread(spark.read.parquet(path))._jdf.queryExecution().optimizedPlan().toString()
+    df.repartition(8).write.parquet(f"{tmp_path}/even")
+    df.coalesce(1).write.parquet(f"{tmp_path}/one")
+    df.repartition(8).where("id % 50 = 0").unionByName(df.coalesce(1)).write.parquet(f"{tmp_path}/uneven")
+    assert [dealt(f"{tmp_path}/{x}") for x in ("even", "one", "uneven")] == [False, True, True]

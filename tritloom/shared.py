@@ -70,11 +70,27 @@ class Scratch:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table that the scan cuts into fewer parts than there are cores is dealt evenly over the cores."""
+    """A table that the scan cuts into fewer parts than there are cores is dealt evenly over the cores.
+
+    A table of at least as many files as cores, none of them over twice its share, is evenly cut as it is.
+    """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
+    return df.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() and not _even(df, cores) else df
+
+
+def _even(df: DataFrame, cores: int) -> bool:
+    files = df.inputFiles()
+    if len(files) < cores:
+        return False
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    folders: dict[str, object] = {}
+    for f in files:
+        folders.setdefault(f.rsplit("/", 1)[0], at(f).getParent())
+    sizes = {x.getPath().toString(): x.getLen() for p in folders.values() for x in p.getFileSystem(conf).listStatus(p)}
+    return max(sizes.values()) * cores <= 2 * sum(sizes.values())
 
 
 _shipped: set[str] = set()

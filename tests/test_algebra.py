@@ -113,3 +113,36 @@ def test_empty_inputs(spark):
     p = S.pack(empty, "vec_id", D)
     assert p.count() == 0
     assert S.exact_search(p, p.select(F.col("vec_id").alias("query_id"), F.col("pos").alias("qpos"), F.col("neg").alias("qneg")), D, 5).count() == 0
+
+
+def test_bundle_arrays_adds_repeated_keys_and_groups_without_arrays(spark):
+    rows = [(1, [0.5, -0.5, 0.0, 1.0], 0), (1, [0.5, 0.5, -1.0, None], 1), (2, None, 0), (3, [0.2, -0.9], None), (4, [], 7), (None, [0.9], 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    members = spark.createDataFrame([(0, 0, -1), (0, 3, 1), (0, 5, 1), (1, 2, 1)], "label int, dim int, trit int")
+    mine = df.select("vec_id", "label").join(members, "label")
+    want = sorted(map(tuple, A.bundle(A.from_arrays(df, "vec_id", "embedding", 0.1), mine, ["vec_id"]).collect()), key=str)
+    got = A.bundle_arrays(df, "vec_id", "embedding", "label", members, 0.1)
+    assert sorted(map(tuple, got.collect()), key=str) == want and got.columns == ["vec_id", "dim", "trit"]
+    # What is grouped are keys, not dims of keys.
+    import re
+
+    assert not re.search(r"Aggregate \[vec_id#\d+L?, dim", got._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_random_vectors_group_ids_only(spark):
+    from tritloom.operators import codebook as C
+
+    v = C.random_vectors(spark.createDataFrame([(1,), (2,), (2,), (None,)], "id int"), "t", "id", 16, 20)
+    got = {}
+    for r in v.collect():
+        assert got.setdefault((r.id, r.dim), r.trit) == r.trit
+    import hashlib
+
+    want = {}
+    for i in (1, 2, None):
+        for k in range(20):
+            d = int(hashlib.md5("|".join(["t", *([str(i)] if i else []), str(k)]).encode()).hexdigest()[:8], 16) % 16
+            want.setdefault((i, d), 1 if k % 2 == 0 else -1)
+    assert got == want and v.count() == len(want)
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "min(" not in plan

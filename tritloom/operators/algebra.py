@@ -67,6 +67,23 @@ def bundle(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return bundle_many(a.select(*keys, "dim", "trit").unionByName(b.select(*keys, "dim", "trit")), keys)
 
 
+def bundle_arrays(df: DataFrame, key: str, values: str, group: str, members: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """As :func:`bundle` of each key's projected array with the vector of its group in ``members`` (group, dim, trit).
+
+    The rows of a key are brought together whole and added up in one row, so no task holds a sum for each dim of many
+    keys. ``members`` has few groups (a row a class) and is broadcast.
+    """
+    own = F.transform(values, lambda x: ternary(x, threshold))
+    by_dim = members.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("dim", "trit"))).alias("__m"))
+    rows = df.select(key, group, own.alias("__t")).join(F.broadcast(by_dim), group, "left").select(key, F.struct("__t", "__m").alias("__r"))
+    rows = rows.groupBy(key).agg(F.collect_list("__r").alias("__r"))
+    size = F.greatest(F.array_max(F.transform("__r", lambda r: F.coalesce(F.size(r["__t"]), F.lit(0)))), F.coalesce(F.array_max(F.flatten(F.transform("__r", lambda r: F.map_keys(F.coalesce(r["__m"], F.create_map().cast("map<int,int>")))))) + 1, F.lit(0)))
+    rows = rows.select(key, "__r", size.alias("__n")).where("__n > 0")
+    dims = rows.select(key, "__r", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("dim"))
+    total = F.aggregate("__r", F.lit(0), lambda s, r: s + F.coalesce(F.get(r["__t"], F.col("dim")), F.lit(0)) + F.coalesce(F.try_element_at(r["__m"], F.col("dim")), F.lit(0)))
+    return dims.select(key, "dim", sign_of(total).alias("trit")).where("trit <> 0")
+
+
 def unbundle(counted: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
     """Votes without the votes of ``members``; exact, unlike removal from signs."""
     taken = members.select(*keys, "dim", (-F.col("trit")).cast("bigint").alias("votes"))

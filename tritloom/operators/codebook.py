@@ -26,11 +26,12 @@ def drawn_dim(kind: Column, ident: Column, k: Column, dims: int) -> Column:
 
 
 def random_vectors(ids: DataFrame, kind: str, ident: str, dims: int = DIMS, draws: int = DRAWS) -> DataFrame:
-    """One vector for each row of ``ids``: (ident, dim, trit). The draws of a vector are made in its own row."""
-    every = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda k: F.struct(drawn_dim(F.lit(kind), F.col(ident), k, dims).alias("dim"), k.alias("k")))
-    rows = ids.select(F.col(ident), F.explode(every).alias("d"))
-    first = rows.groupBy(ident, "d.dim").agg(F.min("d.k").alias("k"))
-    return first.select(ident, "dim", F.when(F.col("k") % 2 == 0, 1).otherwise(-1).cast("int").alias("trit"))
+    """One vector for each distinct id of ``ids``: (ident, dim, trit). The draws of a vector are made, and those that meet
+    in one dim settled, in its own row; only the ids are shuffled."""
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda k: drawn_dim(F.lit(kind), F.col(ident), k, dims))
+    rows = ids.select(ident).distinct().select(ident, drawn.alias("__d"))
+    rows = rows.select(ident, "__d", F.explode(F.array_distinct("__d")).alias("dim"))
+    return rows.select(ident, "dim", F.when(F.array_position("__d", F.col("dim")) % 2 == 1, 1).otherwise(-1).cast("int").alias("trit"))
 
 
 def codebook(spark: SparkSession, kind: str, size: int, dims: int = DIMS, draws: int = DRAWS) -> DataFrame:

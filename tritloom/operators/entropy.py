@@ -77,6 +77,72 @@ def outlier_regions(per_block: DataFrame, ident: str, threshold: float) -> DataF
     return high.withColumn("__g", island).groupBy(ident, "__g").agg(F.min("block").alias("first_block"), F.max("block").alias("last_block")).drop("__g")
 
 
+#: Bytes whose counts are dense at once, and bytes of an id's rows that are kept before they become counts.
+PIECE, KEPT = 1 << 16, 1 << 26
+
+
+def outlier_regions_of(df: DataFrame, ident: str, data: str, block: int, threshold: float) -> DataFrame:
+    """What :func:`outlier_regions` gives of the entropy of :func:`byte_counts` by ``block`` bytes, without a row a count.
+
+    Rows are brought together by id, whole, as bytes of equal ids add up; blocks are counted and runs found in the task.
+    """
+    ship(df.sparkSession)
+    schema = T.StructType([T.StructField(ident, df.schema[ident].dataType), T.StructField("first_block", T.IntegerType()), T.StructField("last_block", T.IntegerType())])
+    arrow, piece, kept = to_arrow_schema(schema), max(1, PIECE // block) * block, KEPT
+    rows = df.select(ident, F.col(data).cast("binary").alias("__data")).repartition(ident).sortWithinPartitions(ident)
+
+    def run(batches):
+        held, size, keys, counts, last = [], 0, np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+        def folded():
+            """Turns the rows kept into counts by block and byte."""
+            nonlocal held, size, keys, counts
+            more = [np.frombuffer(x, np.uint8) + np.arange(len(x)) // block * 256 for x in held]
+            n = np.concatenate([counts, np.ones(sum(map(len, more)), np.int64)])
+            keys, where = np.unique(np.concatenate([keys, *more]), return_inverse=True)
+            counts, held, size = np.bincount(where, n, len(keys)).astype(np.int64), [], 0
+
+        def found():
+            longest = max([*map(len, held), (int(keys[-1]) // 256 + 1) * block if len(keys) else 0], default=0)
+            high = []
+            for at in range(0, longest, piece):
+                first = at // block
+                n = np.zeros(piece // block * 256, np.int64)
+                for x in held:
+                    cut = np.frombuffer(x[at : at + piece], np.uint8)
+                    n += np.bincount(cut + np.arange(len(cut)) // block * 256, minlength=len(n))
+                a, b = np.searchsorted(keys, (first * 256, first * 256 + len(n)))
+                n[keys[a:b] - first * 256] += counts[a:b]
+                n = n.reshape(-1, 256)
+                total = n.sum(1)
+                used = np.flatnonzero(total)
+                n, total = n[used], total[used].astype(float)
+                bits = np.log2(total) - (n * np.log2(np.maximum(n, 1))).sum(1) / total
+                high.append(used[np.floor(bits * 1e6 + 0.5) / 1e6 >= threshold] + first)
+            high = np.concatenate([np.zeros(0, np.int64), *high])
+            starts = np.flatnonzero(np.r_[True, np.diff(high) > 1]) if len(high) else high
+            return high[starts], high[np.r_[starts[1:], len(high)] - 1] if len(high) else high
+
+        def emitted():
+            first, end = found()
+            if len(first):
+                yield pa.RecordBatch.from_arrays([pa.array([last] * len(first), arrow.field(0).type), pa.array(first, pa.int32()), pa.array(end, pa.int32())], schema=arrow)
+
+        for batch in batches:
+            for ident_, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if ident_ != last:
+                    yield from emitted()
+                    held, size, keys, counts, last = [], 0, keys[:0], counts[:0], ident_
+                if raw:
+                    held.append(raw)
+                    size += len(raw)
+                    if size > kept and len(held) > 1:
+                        folded()
+        yield from emitted()
+
+    return rows.mapInArrow(run, schema)
+
+
 def ngram_counts(df: DataFrame, text: str, n: int, least: int = 1) -> DataFrame:
     """(gram, n): n-grams of words (split at spaces) over all rows, counted with map-side combination."""
     words = df.select(F.filter(F.split(text, " "), lambda w: w != "").alias("w"))

@@ -181,8 +181,7 @@ def _(spark, sf_dir):
 
 @query("v30_outlier_regions", f"WITH {_BC.format('documents', ', CAST(i // 64 AS INTEGER) AS block', ', block')}, {_ENT.format(', block')}, g AS (SELECT doc_id, block, block - row_number() OVER (PARTITION BY doc_id ORDER BY block) AS g FROM ent WHERE entropy >= 4.3) SELECT doc_id, min(block) AS first_block, max(block) AS last_block FROM g GROUP BY doc_id, g")
 def _(spark, sf_dir):
-    counts = E.byte_counts(spread(table(spark, sf_dir, "documents")), "doc_id", "text", 64)
-    return E.outlier_regions(E.entropy(counts, ["doc_id", "block"]), "doc_id", 4.3)
+    return E.outlier_regions_of(table(spark, sf_dir, "documents"), "doc_id", "text", 64, 4.3)
 
 
 @query("v19_ngrams", "SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM (SELECT list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents)) GROUP BY gram HAVING count(*) >= 5")

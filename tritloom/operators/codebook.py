@@ -92,9 +92,8 @@ class BoundCodes:
         code = at % self.chunk * 256 + raw
         entry, size = _ranges(self.first, code)
         key = np.repeat(at // self.chunk * self.dims, size) + self.dim[entry]
-        found, where = np.unique(key, return_inverse=True)
-        sums = np.sign(np.bincount(where, self.trit[entry], len(found))).astype(np.int64)
-        found, sums = found[sums != 0], sums[sums != 0]
+        found, sums = _sums(key, self.trit[entry])
+        found, sums = found[sums != 0], np.sign(sums[sums != 0])
         return found // self.dims, found % self.dims, sums
 
     def decode(self, chunk_no: np.ndarray, dim: np.ndarray, trit: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -104,12 +103,23 @@ class BoundCodes:
         chunk_no, dim, trit = chunk_no[known], dim[known], trit[known]
         entry, size = _ranges(self.first_by_dim, dim)
         key = np.repeat(chunk_no, size) * (self.chunk * 256) + self.code_by_dim[entry]
-        found, where = np.unique(key, return_inverse=True)
-        score = np.bincount(where, np.repeat(trit, size) * self.trit_by_dim[entry], len(found)).astype(np.int64)
+        found, score = _sums(key, np.repeat(trit, size) * self.trit_by_dim[entry])
         place = found // 256
-        order = np.lexsort((found, -score, place))
-        first = order[np.r_[True, place[order][1:] != place[order][:-1]]] if len(order) else order
-        return place[first] // self.chunk, place[first] % self.chunk, found[first] % 256, score[first]
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(found) else np.zeros(0, np.int64)
+        best = np.maximum.reduceat(score * 256 + 255 - found % 256, first) if len(first) else first
+        place = place[first]
+        return place // self.chunk, place % self.chunk, 255 - best % 256, best // 256
+
+
+def _sums(key: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, each once, and the sums of their signs (-1 or 1): one sort of plain numbers."""
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    both = key * 2 + (sign > 0)
+    both = np.sort(both.astype(np.int32) if both.max() < 1 << 31 else both)
+    key = both >> 1
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first].astype(np.int64), np.add.reduceat((both & 1).astype(np.int64) * 2 - 1, first)
 
 
 def _ranges(first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,18 +175,78 @@ def decode_files(files: DataFrame, codes: BoundCodes, ident: str, data: str) ->
 
 def compared_files(files: DataFrame, codes: BoundCodes, ident: str, data: str) -> DataFrame:
     """(ident, chunk_no, pos, byte, decoded) of every byte, as :func:`compared`, in one step."""
+    return _by_pieces(files, ident, data, codes, ["chunk_no", "pos", "byte", "decoded"], _compare)
+
+
+def _compare(codes: BoundCodes, raw: bytes) -> tuple[np.ndarray, ...]:
+    """chunk_no, pos, byte and decoded byte (-1: none) of every byte."""
+    original = np.frombuffer(raw, np.uint8).astype(np.int64)
+    at = np.arange(len(original))
+    decoded = np.full(len(original), -1)
+    chunk_no, pos, byte, _ = codes.decode(*codes.encode(raw))
+    place = chunk_no * codes.chunk + pos
+    inside = place < len(original)
+    decoded[place[inside]] = byte[inside]
+    return at // codes.chunk, at % codes.chunk, original, decoded
+
+
+def _totals(files: DataFrame, ident: str, data: str, codes: BoundCodes, names: list[str], work) -> DataFrame:
+    """(ident, names...) as longs: what ``work(codes, bytes, first chunk)`` gives for pieces of whole chunks of each row."""
+    schema = T.StructType([T.StructField(ident, files.schema[ident].dataType), *[T.StructField(x, T.LongType()) for x in names]])
+    ship(files.sparkSession)
+    arrow, shared = to_arrow_schema(schema), files.sparkSession.sparkContext.broadcast(codes)
+    piece = PIECE // codes.chunk * codes.chunk
+
+    def run(batches):
+        for batch in batches:
+            of, rows = [], []
+            for k, raw in enumerate(batch.column(1).to_pylist()):
+                for at in range(0, len(raw or b""), piece):
+                    rows += (new := work(shared.value, raw[at : at + piece], at // shared.value.chunk))
+                    of += [k] * len(new)
+            if rows:
+                columns = [pa.array([int(r[c]) for r in rows], pa.int64()) for c in range(len(names))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)).cast(arrow.field(0).type), *columns], schema=arrow)
+
+    return files.select(ident, F.col(data).cast("binary").alias("__data")).mapInArrow(run, schema)
+
+
+def _engram_totals(codes: BoundCodes, raw: bytes, first: int) -> list[tuple]:
+    """A row for each run of chunks that have trits: first and last chunk; the first row holds the piece's trits and checksum."""
+    chunk_no, dim, trit = codes.encode(raw)
+    if not len(trit):
+        return []
+    chunk_no = chunk_no + first
+    held = chunk_no[np.r_[True, chunk_no[1:] != chunk_no[:-1]]]
+    starts = np.flatnonzero(np.r_[True, np.diff(held) > 1])
+    ends = np.r_[starts[1:], len(held)] - 1
+    total = len(trit), int((trit * (dim + 1) * (chunk_no % 1000 + 1)).sum())
+    return [(held[a], held[b], *(total if not n else (0, 0))) for n, (a, b) in enumerate(zip(starts, ends, strict=True))]
+
+
+def engram_totals(files: DataFrame, codes: BoundCodes, ident: str, data: str) -> DataFrame:
+    """(ident, n_chunks, nnz, checksum) of the engrams of :func:`encode_files`, which stay in the task that makes them.
+
+    n_chunks: distinct chunks with a trit, over all rows of an id; checksum: the sum of
+    trit * (dim + 1) * (chunk_no % 1000 + 1). Ids without trits give no row.
+    """
+    runs = _totals(files, ident, data, codes, ["first", "last", "nnz", "checksum"], _engram_totals)
+    per = runs.groupBy(ident).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"), F.sum("nnz").alias("nnz"), F.sum("checksum").alias("checksum"))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-1).cast("bigint").alias("upto"))
+    joined = F.aggregate("runs", start, lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["last"] - F.greatest(r["first"] - 1, s["upto"]))).alias("n"), F.greatest(s["upto"], r["last"]).alias("upto")))
+    return per.select(ident, joined["n"].alias("n_chunks"), "nnz", "checksum")
+
+
+def _accuracy_totals(codes: BoundCodes, raw: bytes, first: int) -> list[tuple]:
+    _, _, byte, decoded = _compare(codes, raw)
+    return [(len(byte), (byte == decoded).sum(), ((byte - np.maximum(decoded, 0)) ** 2).sum())]
+
 
-    def work(codes: BoundCodes, raw: bytes):
-        original = np.frombuffer(raw, np.uint8).astype(np.int64)
-        at = np.arange(len(original))
-        decoded = np.full(len(original), -1)
-        chunk_no, pos, byte, _ = codes.decode(*codes.encode(raw))
-        place = chunk_no * codes.chunk + pos
-        inside = place < len(original)
-        decoded[place[inside]] = byte[inside]
-        return at // codes.chunk, at % codes.chunk, original, decoded
-
-    return _by_pieces(files, ident, data, codes, ["chunk_no", "pos", "byte", "decoded"], work)
+def accuracy_totals(files: DataFrame, codes: BoundCodes, ident: str, data: str) -> DataFrame:
+    """(ident, n_bytes, n_right, off): the bytes of :func:`compared_files` counted in the task that decodes them; off is the
+    sum of squared differences, with 0 for a byte that no code came back for."""
+    pieces = _totals(files, ident, data, codes, ["n_bytes", "n_right", "off"], _accuracy_totals)
+    return pieces.groupBy(ident).agg(*[F.sum(x).alias(x) for x in ("n_bytes", "n_right", "off")])
 
 
 def compared(rows: DataFrame, decoded: DataFrame, ident: str) -> DataFrame:

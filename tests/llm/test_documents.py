@@ -271,6 +271,18 @@ def test_block_max_search_equals_brute_force():
         assert set(index.ids[places].tolist()[: len(exact)]) == exact
 
 
+def test_block_max_index_takes_two_passes(monkeypatch):
+    """However many blocks reach the kth score: the best ones, then all others at once."""
+    draws, ranges, calls = np.random.default_rng(3), toxicity._ranges, []
+    vectors = [(np.arange(30), x / np.linalg.norm(x)) for x in draws.random((64 * 60, 30))]
+    index = toxicity.BlockMaxIndex(vectors, list(range(64 * 60)), [0] * (64 * 60), 30)
+    monkeypatch.setattr(toxicity, "_ranges", lambda *a: calls.append(1) or ranges(*a))
+    places, cosines = index.nearest(*vectors[7])
+    assert len(calls) == 3  # the entries, and the postings of either pass
+    scores = np.round(np.array([w @ vectors[7][1] for _, w in vectors]), 12)
+    assert np.allclose(cosines, np.sort(scores)[::-1][: toxicity.K], atol=1e-11) and index.ids[places[0]] == 7
+
+
 def brute_toxicity(docs, labels):
     """Neighbours and votes of every text by dense vectors; docs: [(id, text)], labels: {id: 0 or 1}."""
     examples = sorted({(i, labels[i], t) for i, t in docs if i in labels}, key=lambda x: x[:2])

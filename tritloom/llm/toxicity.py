@@ -10,8 +10,9 @@ example holds can't add to a cosine's dot product and have no weight.
 
 Search. Examples are numbered in the order of their weightiest terms, so that alike ones share blocks of ``BLOCK``. The
 index holds for each term its postings, and for each block of them the largest weight. For a text, the sums of query
-weight times block maximum bound every block's scores; blocks are worked out exactly, best bounds first and more at a
-time, until the next bound is below the k-th score. The ``K`` nearest are thus exact; ties go to the smaller document id.
+weight times block maximum bound every block's scores; the ``FIRST`` blocks of the best bounds are worked out exactly, then,
+in one pass, all others whose bound is not below the k-th score. The ``K`` nearest are thus exact; ties go to the smaller
+document id.
 
 Score. The votes of the neighbours, weighted by cosine, are calibrated by a monotone fit to the examples' own votes, each
 worked out without the example itself and its near copies (cosines of ``COPY`` or more). Evidence is the neighbours'
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, pieces, ship, spread, table, written
 from .langid import held_out
 
-EXAMPLES, Z, POWER, K, BLOCK, COPY = 3000, 3.0, 3, 15, 64, 0.95
+EXAMPLES, Z, POWER, K, BLOCK, FIRST, COPY = 3000, 3.0, 3, 15, 64, 16, 0.95
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
@@ -92,31 +93,35 @@ class BlockMaxIndex:
         first = self.of_term[at_terms]
         size = self.of_term[at_terms + 1] - first
         entry, weight = _ranges(first, size), np.repeat(weights, size)
-        block = self.block[entry]
-        bound = np.bincount(block, weight * self.most[entry], self.blocks)
+        block = self.block.take(entry)
+        bound = np.bincount(block, weight * self.most.take(entry), self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        cosines, places = np.zeros(0), np.zeros(0, np.int64)
-        at, step = 0, 4
-        while at < len(order):
-            chosen = order[at : at + step]
-            if len(places) >= k:
-                chosen = chosen[bound[chosen] >= cosines[-1] - 1e-9]
-                if not len(chosen):
-                    break
-            at, step = at + step, step * 2
+        start, count = self.first.take(entry), self.first.take(entry + 1)
+        count -= start
+        cosines, places, least = np.zeros(0), np.zeros(0, np.int64), 0.0
+        for chosen in (order[:FIRST], order[FIRST:]):
+            chosen = chosen[bound[chosen] >= least - 1e-9]
+            if not len(chosen):
+                break
             marked = np.zeros(self.blocks, bool)
             marked[chosen] = True
-            mine = np.flatnonzero(marked[block])
-            start = self.first[entry[mine]]
-            count = self.first[entry[mine] + 1] - start
-            posting = _ranges(start, count)
-            scores = np.round(np.bincount(self.at[posting], self.weight[posting] * np.repeat(weight[mine], count), len(self.ids)), 12)
-            new = np.flatnonzero((scores > 0) & (scores < below))
-            new = new[new != without]
-            cosines, places = np.concatenate((cosines, scores[new])), np.concatenate((places, new))
+            mine = np.flatnonzero(marked.take(block))
+            n = count.take(mine)
+            posting = _ranges(start.take(mine), n)
+            value = np.repeat(weight.take(mine), n)
+            value *= self.weight.take(posting)
+            scores = np.bincount(self.at.take(posting), value, len(self.ids))
+            new = np.flatnonzero(scores > least - 1e-9) if least else np.flatnonzero(scores)
+            found = np.round(scores[new], 12)
+            fine = (found > 0) & (found < below) & (new != without)
+            cosines, places = np.concatenate((cosines, found[fine])), np.concatenate((places, new[fine]))
+            if len(places) > k:
+                best = np.flatnonzero(cosines >= np.partition(cosines, -k)[-k])
+                cosines, places = cosines[best], places[best]
             top = np.lexsort((self.ids[places], -cosines))[:k]
             cosines, places = cosines[top], places[top]
+            least = cosines[-1] if len(places) == k else 0.0
         return places, cosines
 
 

@@ -10,7 +10,7 @@ from ..operators import aggregate as G
 from ..operators import algebra as A
 from ..operators import entropy as E
 from ..operators import store as M
-from ..shared import spread
+from ..shared import cut, spread
 from .vector_queries import D, T, P, labelled, table
 
 QUERIES: dict = {}
@@ -186,7 +186,7 @@ def _(spark, sf_dir):
 
 @query("v19_ngrams", "SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM (SELECT list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents)) GROUP BY gram HAVING count(*) >= 5")
 def _(spark, sf_dir):
-    return E.ngram_counts(spread(table(spark, sf_dir, "documents")), "text", 2, 5)
+    return E.ngram_counts(cut(table(spark, sf_dir, "documents"), "text"), "text", 2, 5)
 
 
 @query("a8_compression_ratio", f"WITH {FILES}, s AS (SELECT source, CAST(sum(size) AS BIGINT) AS original, CAST(sum(CASE WHEN lang = 'en' THEN size // 3 ELSE 0 END) AS BIGINT) AS encoded FROM files GROUP BY source) SELECT source, CASE WHEN encoded = 0 OR original = 0 THEN 'N/A' ELSE CAST(encoded * 10000 // original // 100 AS VARCHAR) || '.' || lpad(CAST(encoded * 10000 // original % 100 AS VARCHAR), 2, '0') END AS ratio FROM s")

@@ -80,6 +80,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() and not _even(df, cores) else df
 
 
+#: Bytes of files, about, that a part of :func:`cut` holds at most.
+PART = 16 << 20
+
+
+def cut(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns of a table, as by :func:`spread`; a larger table is dealt over parts of about ``PART`` bytes, so a task's share doesn't grow."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = -(-size // PART)
+    return df.select(*columns).repartition(parts) if parts > df.sparkSession.sparkContext.defaultParallelism else spread(df).select(*columns)
+
+
 def _even(df: DataFrame, cores: int) -> bool:
     files = df.inputFiles()
     if len(files) < cores:
